@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -45,6 +46,11 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def extended(schema: StructType, more: str) -> StructType:
+    """A schema with the columns of a DDL string behind its own."""
+    return StructType([*schema.fields, *StructType.fromDDL(more).fields])
+
+
 def fold(doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text; remainders of it make the fixed folds."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary"))
