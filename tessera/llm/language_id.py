@@ -76,10 +76,10 @@ class Lattice:
             out.append(arcs)
         return length, out
 
-    def forward(self, group: list[str], p: np.ndarray, back: bool = False):
+    def forward(self, group: list[str], p: np.ndarray, weight: np.ndarray | None = None, lattice=None):
         """log of the sum over all segmentations of each word, for each column of p
-        (pieces and the unknown one, by languages); with ``back`` also expected counts."""
-        length, arcs = self.arcs(group)
+        (pieces and the unknown one, by languages); for weighted words expected counts."""
+        length, arcs = self.arcs(group) if lattice is None else lattice
         p = np.concatenate([p, np.zeros((1, p.shape[1]))])  # piece -1
         a = np.zeros((len(arcs) + 1, len(group), p.shape[1]))
         a[0] = 1
@@ -87,7 +87,7 @@ class Lattice:
             for start, piece in own:
                 a[end] += a[start] * p[piece]
         z = a[length, np.arange(len(group))]
-        if not back:
+        if weight is None:
             return np.log(z)
         b = np.zeros_like(a)
         b[length, np.arange(len(group))] = 1
@@ -98,8 +98,8 @@ class Lattice:
         for end, own in enumerate(arcs, 1):
             for start, piece in own:
                 share = a[start] * p[piece] * b[end] / z
-                for k in range(p.shape[1]):
-                    counts[:, k] += np.bincount(np.where(piece < 0, len(p) - 1, piece), weights=share[:, k] * self.weight, minlength=len(p))
+                some = np.flatnonzero(piece >= 0)
+                np.add.at(counts, piece[some], share[some] * weight[some, None])
         return counts[:-1]
 
 
@@ -118,11 +118,11 @@ def fit(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = 4) -
         own = sorted(counts[lang])
         p = np.full((len(pieces) + 1, 1), 1.0 / (len(pieces) + 1))
         p[-1] = UNKNOWN
+        groups = [[own[i] for i in g] for g in _groups(own)]
+        known = [lattice.arcs(g) for g in groups]
+        weights = [np.array([counts[lang][w] for w in g], float) for g in groups]
         for _ in range(rounds if own else 0):
-            total = np.zeros_like(p)
-            for g in _groups(own):
-                lattice.weight = np.array([counts[lang][own[i]] for i in g], float)
-                total += lattice.forward([own[i] for i in g], p, back=True)
+            total = sum((lattice.forward(g, p, w, k) for g, w, k in zip(groups, weights, known, strict=True)), np.zeros_like(p))
             total[:-1] += 0.01
             p = total / total[:-1].sum()
             p[-1] = UNKNOWN

@@ -13,7 +13,9 @@ from tessera.llm.shared import bounded_batches, extended, fold
 from tessera.llm.shingles import _SPACE, U, mix, text_slices, word_hashes
 
 WORDS, ENDS, SHAPES = 2048, 1024, 1024
-WIDTH = WORDS + ENDS + SHAPES
+STATS, LEVELS = 3, 12
+WIDTH = WORDS + ENDS + SHAPES + STATS * LEVELS
+STAT_COUNT = 2000  # such a level weighs as a word that often
 _CLASS = np.zeros(256, np.uint64)
 _CLASS[0x61:0x7B] = 1
 _CLASS[0x41:0x5B] = 2
@@ -27,7 +29,8 @@ for _b in range(0x21, 0x7F):
 def term_counts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, rows, row, term, count) of slices of texts. Terms are hashes of words, of
     words' last three bytes, and of words' shapes: classes of the first and the last
-    three bytes."""
+    three bytes; and levels of how much a text repeats itself: shares of words that follow
+    themselves, of distinct words and of distinct runs of three words."""
     for first, data, offsets in text_slices(column):
         words, row = word_hashes(data, offsets)
         rows = len(offsets) - 1
@@ -44,7 +47,18 @@ def term_counts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
         shape = sum((_CLASS[data[x]] << U(8 * k) for k, x in enumerate([*last, starts])), U(0))
         terms = np.concatenate([words % U(WORDS), U(WORDS) + mix(end) % U(ENDS), U(WORDS + ENDS) + mix(shape + U(1)) % U(SHAPES)]).astype(np.int64)
         key, n = np.unique(np.tile(row, 3) * WIDTH + terms, return_counts=True)
-        yield first, rows, key // WIDTH, key % WIDTH, n.astype(np.float64)
+        size = np.bincount(row, minlength=rows).astype(np.float64)
+        same = np.bincount(row[1:][(words[1:] == words[:-1]) & (row[1:] == row[:-1])], minlength=rows)
+        three = mix(words[:-2] + mix(words[1:-1] + mix(words[2:])))[row[:-2] == row[2:]] if len(words) > 2 else words[:0]
+        of = row[:-2][row[:-2] == row[2:]] if len(words) > 2 else row[:0]
+        distinct = [np.bincount(r[np.unique(h ^ mix(r.astype(U) + U(1)), return_index=True)[1]], minlength=rows) for h, r in ((words, row), (three, of))]
+        shares = [same / np.maximum(size, 1), distinct[0] / np.maximum(size, 1), distinct[1] / np.maximum(size - 2, 1)]
+        some = np.flatnonzero(size)
+        level = [np.minimum(np.floor(np.minimum(s[some], 1) * LEVELS), LEVELS - 1).astype(np.int64) for s in shares]
+        extra = np.concatenate([some * WIDTH + WORDS + ENDS + SHAPES + i * LEVELS + v for i, v in enumerate(level)])
+        key, n = np.concatenate([key, extra]), np.concatenate([n, np.full(len(extra), STAT_COUNT)])
+        order = np.argsort(key)
+        yield first, rows, key[order] // WIDTH, key[order] % WIDTH, n[order].astype(np.float64)
 
 
 def _collect_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
