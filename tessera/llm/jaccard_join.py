@@ -19,7 +19,9 @@ PIECE = 1 << 16
 SIZE_BITS = 20
 BITMAP = 1 << 27  # bits of the filter of candidate groups
 FLUSH = 1 << 21
+TWICE = U((1 << 64) - 1)
 FAN = 32
+FULL = 32  # runs up to so many groups are counted pair by pair
 DONE = U((1 << SIZE_BITS) - 1)
 
 
@@ -145,6 +147,9 @@ def _postings(levels, buckets: int, percent: int):
                     continue
                 if len(done) < 1 << 18:
                     done.add(gid)
+                low, times = np.unique(prefix & U(0xFFFFFFFF), return_counts=True)
+                if len(low) < len(prefix):  # shingles that may pass for one in a bucket
+                    members += [(gid, int(TWICE))] * int((times - 1).sum())
                 tokens.append(prefix)
                 groups.append(np.full(len(prefix), gid, U))
                 held += len(prefix)
@@ -179,13 +184,40 @@ def _tree_links(run: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-_found = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("ids", pa.binary())])
+_found = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int64()), ("ids", pa.binary())])
+
+
+def _all_pairs(ids: np.ndarray, start: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs within each run of FULL ids at most, of sizes that can be similar."""
+    out = [np.empty((0, 2), U)]
+    for k in np.unique(size):
+        at = start[size == k]
+        i, j = np.triu_indices(k, 1)
+        for part in range(0, len(at), 1 << 14):
+            rows = at[part : part + (1 << 14), None]
+            a, b = ids[rows + i].ravel(), ids[rows + j].ravel()
+            near = _near_sizes(a, b, percent)
+            out.append(np.stack([a[near], b[near]], 1))
+    return np.concatenate(out)
+
+
+def _counted(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(pairs):
+        return pairs, np.empty(0, np.int64)
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    first = np.flatnonzero(np.concatenate(([True], (pairs[1:] != pairs[:-1]).any(axis=1))))
+    return pairs[first], np.diff(np.append(first, len(pairs)))
 
 
 def _runs(percent: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        """Of a bucket: kind 0, pairs of groups with the number of shingles they share
+        in runs of FULL groups at most, and with 0 the tree over longer runs; kind 1,
+        the longer runs, and groups of several sets; kind 2, each group's number of
+        shingles in longer runs."""
         blobs = lambda name, kind: np.frombuffer(b"".join(x.as_py() for x in table.column(name)), kind)
-        pairs: list[np.ndarray] = []
+        pairs, shared = np.empty((0, 2), U), np.empty(0, np.int64)
+        long, times = np.empty(0, U), np.empty(0, np.int64)
         runs: dict[int, bytes] = {}
 
         def keep(ids: np.ndarray) -> None:
@@ -193,38 +225,56 @@ def _runs(percent: int):
 
         if key[0].as_py() < 0:  # groups of several sets
             m = blobs("groups", U).reshape(-1, 2)
-            m = np.unique(m, axis=0)
-            same = m[1:, 0] == m[:-1, 0]
-            for g in np.unique(m[1:, 0][same]):
+            long, times = np.unique(m[m[:, 1] == TWICE, 0], return_counts=True)
+            m = np.unique(m[m[:, 1] != TWICE], axis=0)
+            for g in np.unique(m[1:, 0][m[1:, 0] == m[:-1, 0]]):
                 keep(np.array([g], U))
         else:
             t, g = blobs("tokens", np.uint32), blobs("groups", U)
             order = np.lexsort((g, t))
             t, g = t[order], g[order]
-            new = np.ones(len(t), bool)
-            new[1:] = (t[1:] != t[:-1]) | (g[1:] != g[:-1])
+            new = np.concatenate(([True], (t[1:] != t[:-1]) | (g[1:] != g[:-1]))) if len(t) else np.empty(0, bool)
             t, g = t[new], g[new]
-            start = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
+            start = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1]))) if len(t) else np.empty(0, int)
             size = np.diff(np.append(start, len(t)))
-            two = start[size == 2]
-            if len(two):
-                p = np.unique(np.stack([g[two], g[two + 1]], 1), axis=0)
-                p = p[_near_sizes(p[:, 0], p[:, 1], percent)]
-                pairs.append(p)
-            for i, k in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-                ids = g[i : i + k]
+            some = (size > 1) & (size <= FULL)
+            pairs, shared = _counted(_all_pairs(g, start[some], size[some], percent))
+            many = [g[i : i + k] for i, k in zip(start[size > FULL].tolist(), size[size > FULL].tolist(), strict=True)]
+            for ids in many:
                 keep(ids)
-        for ids in list(runs.values()):
-            for a, b in _tree_links(np.frombuffer(ids, U)):
-                near = _near_sizes(a, b, percent)
-                pairs.append(np.stack([a[near], b[near]], 1))
-        p = np.unique(np.concatenate(pairs), axis=0).astype(np.int64) if pairs else np.empty((0, 2), np.int64)
+            long, times = np.unique(np.concatenate([*many, long]), return_counts=True)
+            tree = [np.stack([a, b], 1)[_near_sizes(a, b, percent)] for ids in runs.values() for a, b in _tree_links(np.frombuffer(ids, U))]
+            if tree:
+                tree, _ = _counted(np.concatenate(tree))
+                pairs, shared = np.concatenate([pairs, tree]), np.concatenate([shared, np.zeros(len(tree), np.int64)])
         parts = [(k, ids[i : i + 8192]) for k, ids in runs.items() for i in range(0, len(ids), 8192)]
-        return pa.table([pa.array(np.concatenate([np.zeros(len(p), np.int32), np.ones(len(parts), np.int32)])), pa.array(np.concatenate([p[:, 0], np.array([k for k, _ in parts], np.int64)])), pa.array([*p[:, 1].tolist(), *[None] * len(parts)], pa.int64()), pa.array([*[None] * len(p), *[x for _, x in parts]], pa.binary())], schema=_found)
+        columns = [
+            np.repeat(np.arange(3, dtype=np.int32), [len(pairs), len(parts), len(long)]),
+            np.concatenate([pairs[:, 0].astype(np.int64), np.array([k for k, _ in parts], np.int64), long.astype(np.int64)]),
+            np.concatenate([pairs[:, 1].astype(np.int64), np.zeros(len(parts), np.int64), times]),
+            np.concatenate([shared, np.zeros(len(parts) + len(long), np.int64)]),
+            pa.array([*[None] * len(pairs), *[x for _, x in parts], *[None] * len(long)], pa.binary()),
+        ]
+        return pa.table([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], schema=_found)
 
     return run
 
 
+def _enough_shared(found: DataFrame, percent: int) -> DataFrame:
+    """Pairs of groups whose prefixes share enough for sets of their sizes. What two
+    sets share beyond the end of the prefix that ends first is at most the rest of that
+    set; so their prefixes share the needed overlap less the longer rest. Shingles in
+    longer runs are not counted pair by pair: the lesser of both groups' number of
+    those is added."""
+    pairs = found.where("kind = 0").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+    many = found.where("kind = 2").groupBy("a").agg(F.sum("b").alias("many"))
+    both = pairs.join(many.withColumnRenamed("many", "ma"), "a", "left").join(many.select(F.col("a").alias("b"), F.col("many").alias("mb")), "b", "left")
+    x, y = (F.col(c).bitwiseAND(F.lit(int(DONE))) for c in "ab")
+    need = F.ceil((x + y) * percent / (100 + percent) - 1e-9) - F.ceil(F.greatest(x, y) * percent / 100 - 1e-9) + 1
+    has = F.col("shared") + F.least(F.coalesce("ma", F.lit(0)), F.coalesce("mb", F.lit(0)))
+    return both.where((has >= need) | (F.greatest(x, y) == int(DONE))).select("a", "b")
+
+
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for run, ids in zip(batch.column("a"), batch.column("ids"), strict=True):
@@ -382,7 +432,8 @@ def jaccard_components(docs: DataFrame, percent: int = 75, salts: int = 32) -> D
     2. The sketch gives the common order of shingles. Each distinct set sends the
        shingles of its prefix, packed, to the bucket of each; documents of one task
        with one prefix and size go as one group. A bucket lists the groups of each
-       shingle: pairs, and longer runs, from which it takes a tree of pairs first.
+       shingle: it counts the shared ones of every two groups in short runs, and takes
+       a tree of pairs from long ones. Pairs that share too little for their sizes go.
     3. Groups in any pair or run are expanded to their members, whose sets are
        fetched in one more pass; pairs of members are verified on whole sets.
        Runs whose members are then still in several components are compared in
@@ -404,10 +455,9 @@ def jaccard_components(docs: DataFrame, percent: int = 75, salts: int = 32) -> D
     tokens = total * (100 - percent) // 100
     buckets = int(max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), tokens // (1 << 20), 64))
     packed = docs.select("text").mapInArrow(_postings(levels, buckets, percent), "bucket int, tokens binary, groups binary")
-    found = materialize(packed.groupBy("bucket").applyInArrow(_runs(percent), "kind int, a long, b long, ids binary"), "runs", "kind")
-    near = found.where("kind = 0").select("a", "b").distinct()
+    found = materialize(packed.groupBy("bucket").applyInArrow(_runs(percent), "kind int, a long, b long, shared long, ids binary"), "runs", "kind")
     runs = materialize(found.where("kind = 1").select("a", "ids").dropDuplicates(["a", "ids"]).mapInArrow(_unpack, "run long, gid long"), "members")
-    near = materialize(near, "near")
+    near = materialize(_enough_shared(found, percent), "near")
     gids = near.select(F.explode(F.array("a", "b")).alias("gid")).union(runs.select("gid")).distinct()
     bitmap = spark.sparkContext.broadcast(_bitmap(gids))
     sets = docs.select("text").mapInArrow(_candidate_sets(levels, bitmap, percent), "gid long, cls binary, n long, shingles binary")
