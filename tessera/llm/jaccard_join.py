@@ -14,7 +14,7 @@ from tessera.llm.components import components
 from tessera.llm.shared import bounded_batches, materialize
 from tessera.llm.shingles import U, mix, set_key, shingle_sets
 
-WIDTH = 1 << 21  # counters in each of the sketch's two rows
+WIDTH = 1 << 22  # counters in each of the sketch's two rows
 PIECE = 1 << 16
 SIZE_BITS = 20
 BITMAP = 1 << 27  # bits of the filter of candidate groups
@@ -80,8 +80,8 @@ def _add_pieces(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 
 
 def _levels(sketch: DataFrame) -> np.ndarray:
-    """How many times the mean count each counter holds, as a power of two. The
-    table has 2 * WIDTH bytes whatever the input, so it may be broadcast."""
+    """How far each counter is above the mean, in steps of its spread, as a power of two.
+    The table has 2 * WIDTH bytes whatever the input, so it may be broadcast."""
     salted = sketch.select("piece", "blob", F.pmod(F.xxhash64("blob"), F.lit(16)).alias("salt"))
     some = salted.groupBy("piece", "salt").applyInArrow(_add_pieces, "piece int, blob binary")
     rows = some.groupBy("piece").applyInArrow(_add_pieces, "piece int, blob binary").collect()
@@ -89,7 +89,7 @@ def _levels(sketch: DataFrame) -> np.ndarray:
     for r in rows:
         total[r.piece * PIECE : (r.piece + 1) * PIECE] = np.frombuffer(zlib.decompress(bytes(r.blob)), np.int64)
     mean = max(1.0, total.sum() / (2 * WIDTH))
-    return np.floor(np.log2(np.maximum(total / mean, 1))).astype(np.uint8)
+    return np.floor(np.log2(1 + np.maximum(total - mean, 0) / (2 * np.sqrt(mean)))).astype(np.uint8)
 
 
 def _ordered_prefix(s: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
@@ -438,7 +438,7 @@ def jaccard_components(docs: DataFrame, percent: int = 75, salts: int = 32) -> D
        fetched in one more pass; pairs of members are verified on whole sets.
        Runs whose members are then still in several components are compared in
        full, block against block, so no two components that a link joins stay apart.
-    Nothing gathered on the driver grows with the input: the sketch has 4 MB and the
+    Nothing gathered on the driver grows with the input: the sketch has 8 MB and the
     filter of candidate groups 16 MB at any size.
 
     A null or empty text has no shingles, links with nothing and is its own component;
