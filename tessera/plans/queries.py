@@ -39,7 +39,7 @@ def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
 
 def place(key: str) -> tuple[Column, Column]:
     k = F.col(key).cast("long")
-    return (k * 48271 + 11) % 32768 * 32, (k * 69621 + 7) % 32768 * 32
+    return (k * 48271 + 11) % 16383 * 64 + 32, (k * 69621 + 7) % 16383 * 64 + 32
 
 
 def customers(spark: SparkSession, sf: str) -> DataFrame:
@@ -50,7 +50,7 @@ def customers(spark: SparkSession, sf: str) -> DataFrame:
     return c.withColumns({"mx": F.col("gx") * cell - M.HALF, "my": F.lit(M.HALF) - F.col("gy") * cell})
 
 
-_PLACED = f"""WITH c AS (SELECT *, (CAST(c_custkey AS BIGINT) * 48271 + 11) % 32768 * 32 AS gx, (CAST(c_custkey AS BIGINT) * 69621 + 7) % 32768 * 32 AS gy FROM customer),
+_PLACED = f"""WITH c AS (SELECT *, (CAST(c_custkey AS BIGINT) * 48271 + 11) % 16383 * 64 + 32 AS gx, (CAST(c_custkey AS BIGINT) * 69621 + 7) % 16383 * 64 + 32 AS gy FROM customer),
 m AS (SELECT *, gx * (2 * {H}::DOUBLE / {GRID}) - {H}::DOUBLE AS mx, {H}::DOUBLE - gy * (2 * {H}::DOUBLE / {GRID}) AS my FROM c)
 """
 
