@@ -158,5 +158,6 @@ def digest(hits: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, **more) -> DataFrame:
     """The rows of ``docs`` without a hit, with the columns of ``docs``."""
-    hits = benchmark_hits(docs, benchmark, width, **more)
-    return hits.where("hit_words is null").select(*docs.columns)
+    own = {c: f"_own_{c}" for c in docs.columns if c in ("n_words", "hit_words", "hit_items", "spans")}
+    hits = benchmark_hits(docs.withColumnsRenamed(own), benchmark, width, **more).where("hit_words is null")
+    return hits.select(*[F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns])

@@ -114,7 +114,7 @@ def vote(model: dict, x: np.ndarray, neighbours: int = 25, power: float = 4.0, b
         near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
         w = np.maximum(np.take_along_axis(cosine, near, 1), 0).astype(np.float64) ** power
         out[i : i + block] = (np.sum(w * y[near], axis=1) + 1e-3 * mean) / (w.sum(axis=1) + 1e-3)
-    return out
+    return np.round(out, 6)
 
 
 def held_out() -> Column:
