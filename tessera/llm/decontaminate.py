@@ -59,7 +59,7 @@ def _scan(block, width: int):
                 if not w:
                     continue
                 flat = (b" " + b" ".join(w) + b" ").decode("latin-1")
-                found = [(end, p) for end, p in automaton.iter(flat)]
+                found = list(automaton.iter(flat)) if patterns else []
                 if not found:
                     continue
                 starts, at = [], 1
