@@ -19,6 +19,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+SLICE = 1 << 20
+STEP = 1 << 13
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -79,9 +81,12 @@ class Codec:
     No piece holds the blank's mark behind another character, so a text's ids are those
     of its chunks, each some marks and what follows up to the next mark. Distinct
     chunks are encoded in multithreaded batches, and each is verified against the original
-    library; where they differ the original's ids stand."""
+    library; where they differ the original's ids stand.
 
-    def __init__(self, data: bytes, cache: int = 1 << 20):
+    Chunks are kept until more than ``cache`` are known. Most are seen once, and a worker
+    outlives its task, so the cache is small: tens of MB."""
+
+    def __init__(self, data: bytes, cache: int = 1 << 18):
         import sentencepiece
         from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
@@ -148,7 +153,17 @@ class Codec:
         self.back = np.concatenate([self.back, np.array([x == y for x, y in zip(back, plain, strict=True)])])
 
     def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, bool, bool]]:
-        """(ids, parity, round trip) of each text; a null is an empty text."""
+        """(ids, parity, round trip) of each text; a null is an empty text. Texts are taken
+        in slices of SLICE characters (a longer text alone), which bounds what is held."""
+        out, first, size = [], 0, 0
+        for i, t in enumerate(texts):
+            size += len(t or "")
+            if size >= SLICE or i + 1 == len(texts):
+                out += self._encode(texts[first : i + 1])
+                first, size = i + 1, 0
+        return out
+
+    def _encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, bool, bool]]:
         per_text = [self.chunks(t or "") for t in texts]
         flat = [c for x in per_text for c in x]
         if not flat:
@@ -157,8 +172,8 @@ class Codec:
         if len(self.known) > self.size:
             self._forget()
         new = [c for c in distinct if c not in self.known]
-        for i in range(0, len(new), 1 << 16):
-            self._learn(new[i : i + (1 << 16)])
+        for i in range(0, len(new), STEP):
+            self._learn(new[i : i + STEP])
         code = np.fromiter((self.known[c] for c in distinct), np.int64, len(distinct))[code]
         out, at = [], 0
         for x in per_text:
