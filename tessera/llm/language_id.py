@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -157,6 +157,19 @@ def train(docs: DataFrame, pieces: list[str] | None = None, lang_docs: int = 200
     return langs, p, pieces
 
 
+def _word_codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Words of each text, all words as positions in the list of distinct ones, and that
+    list. Only one text's words are objects at a time."""
+    known: defaultdict[str, int] = defaultdict()
+    known.default_factory = known.__len__
+    parts = []
+    for t in column:
+        own = words(t.as_py())
+        parts.append(np.fromiter(map(known.__getitem__, own), np.int32, len(own)))
+    sizes = np.array([len(x) for x in parts], np.int64)
+    return sizes, np.concatenate(parts) if parts else np.empty(0, np.int32), list(known)
+
+
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, list[str]]) -> DataFrame:
     """``docs`` with lang_pred and score.
 
@@ -179,15 +192,12 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, list[str]]) ->
         langs, p, pieces = held.value
         lattice = Lattice(pieces)
         for batch in batches:
-            per_text = [words(t) for t in batch.column("text").to_pylist()]
-            flat = [w for x in per_text for w in x]
-            preds, scores = ["und"] * len(per_text), [0.0] * len(per_text)
-            if flat and langs:
-                code, distinct = pd.factorize(np.array(flat, dtype=object))
+            preds, scores = ["und"] * len(batch), [0.0] * len(batch)
+            sizes, code, distinct = _word_codes(batch.column("text"))
+            if len(code) and langs:
                 of_word = np.empty((len(distinct), len(langs)))
-                for g in _groups(list(distinct)):
+                for g in _groups(distinct):
                     of_word[g] = lattice.forward([distinct[i] for i in g], p)
-                sizes = np.array([len(x) for x in per_text])
                 full = np.flatnonzero(sizes)
                 starts = (np.cumsum(sizes) - sizes)[full]
                 for part in range(0, len(full), 256):  # the words of some texts at once
