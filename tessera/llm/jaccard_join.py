@@ -19,6 +19,7 @@ PIECE = 1 << 16
 SIZE_BITS = 20
 BITMAP = 1 << 27  # bits of the filter of candidate groups
 FLUSH = 1 << 21
+PAIRS = 1 << 21
 TWICE = U((1 << 64) - 1)
 FAN = 32
 FULL = 32  # runs up to so many groups are counted pair by pair
@@ -187,18 +188,39 @@ def _tree_links(run: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
 _found = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int64()), ("ids", pa.binary())])
 
 
-def _all_pairs(ids: np.ndarray, start: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
-    """Pairs within each run of FULL ids at most, of sizes that can be similar."""
-    out = [np.empty((0, 2), U)]
+def _all_pairs(ids: np.ndarray, start: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs within each run of FULL ids at most, of sizes that can be similar, and how
+    often each is met. A pair is one integer of two positions among the distinct ids;
+    pairs met are counted whenever PAIRS of them wait, so distinct ones set the memory."""
+    names, place = np.unique(ids, return_inverse=True)
+    place = place.astype(U)
+    keys, counts, waiting, held = np.empty(0, U), np.empty(0, np.int64), [], 0
+
+    def count() -> tuple[np.ndarray, np.ndarray]:
+        met, times = np.unique(np.concatenate([np.empty(0, U), *waiting]), return_counts=True)
+        waiting.clear()
+        if not len(keys):
+            return met, times
+        both, at = np.unique(np.concatenate([keys, met]), return_inverse=True)
+        total = np.zeros(len(both), np.int64)
+        np.add.at(total, at, np.concatenate([counts, times]))
+        return both, total
+
     for k in np.unique(size):
         at = start[size == k]
         i, j = np.triu_indices(k, 1)
-        for part in range(0, len(at), 1 << 14):
-            rows = at[part : part + (1 << 14), None]
-            a, b = ids[rows + i].ravel(), ids[rows + j].ravel()
-            near = _near_sizes(a, b, percent)
-            out.append(np.stack([a[near], b[near]], 1))
-    return np.concatenate(out)
+        step = max(1, PAIRS // 4 // len(i))
+        for part in range(0, len(at), step):
+            rows = at[part : part + step, None]
+            a, b = place[rows + i].ravel(), place[rows + j].ravel()
+            near = _near_sizes(names[a], names[b], percent)
+            waiting.append(a[near] << U(32) | b[near])
+            held += len(waiting[-1])
+            if held >= max(PAIRS, len(keys)):
+                keys, counts = count()
+                held = 0
+    keys, counts = count()
+    return np.stack([names[keys >> U(32)], names[keys & U(0xFFFFFFFF)]], 1), counts
 
 
 def _counted(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -238,7 +260,7 @@ def _runs(percent: int):
             start = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1]))) if len(t) else np.empty(0, int)
             size = np.diff(np.append(start, len(t)))
             some = (size > 1) & (size <= FULL)
-            pairs, shared = _counted(_all_pairs(g, start[some], size[some], percent))
+            pairs, shared = _all_pairs(g, start[some], size[some], percent)
             many = [g[i : i + k] for i, k in zip(start[size > FULL].tolist(), size[size > FULL].tolist(), strict=True)]
             for ids in many:
                 keep(ids)
