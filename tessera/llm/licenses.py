@@ -9,6 +9,7 @@ import json
 import math
 import random
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -150,55 +151,176 @@ def cues(share: float) -> list[str]:
     return sorted(out)
 
 
-def scan(docs: DataFrame, model: dict | None = None, share: float = 0.8, column: str = "text") -> DataFrame:
-    """``docs`` with licenses: array of (paragraph, family, probability, similarity) for
-    each paragraph (line, from 0) that the classifier gives a family, at the calibrated
-    level at least, and that holds ``share`` of the distinct words of one of its templates.
+#: Between two words of one paragraph: anything but a word, over one line break at most.
+_GAP = r"(?:[^a-z0-9\n]++(?:\n[^a-z0-9\n]*+)?|\n[^a-z0-9\n]*+)"
+_VERSION = r"(?:v(?:ersion)? )?[0-9]+"
 
-    Words are runs of ASCII letters and digits, lower-cased. Paragraphs without any of the
+#: Names of each family, in full and as identifiers, and runs of words that
+#: its notices have in common. A blank stands for any gap between words.
+NAMES: dict[str, tuple[str, str]] = {
+    "apache": (r"apache (?:software )?licen[sc]e", r"apache"),
+    "mit": (r"(?:mit|expat) licen[sc]e", r"mit"),
+    "gpl": (r"(?:gnu general public licen[sc]e|gnu gpl(?:v[0-9]+)?|gpl(?:v[0-9]+)?(?: licen[sc]e)?)", r"gpl(?:v?[0-9]+)?"),
+    "lgpl": (r"(?:gnu (?:lesser|library) general public licen[sc]e|gnu lgpl(?:v[0-9]+)?|lgpl(?:v[0-9]+)?(?: licen[sc]e)?)", r"lgpl(?:v?[0-9]+)?"),
+    "bsd": (r"bsd(?: [0-9])?(?: clause)?(?: style)? licen[sc]e", r"(?:bsd|0bsd)"),
+    "mpl": (r"mozilla public licen[sc]e", r"mpl"),
+    "cc-by-nc": (r"(?:creative commons )?attribution non ?commercial|cc by nc", r"cc by nc"),
+    "cc-by": (r"creative commons attribution (?:[1-4]|licen[sc]e|international)|cc by [1-4]", r"cc by [1-4]"),
+    "isc": (r"isc licen[sc]e", r"isc"),
+    "public-domain": (r"public domain|unlicense|cc0", r"(?:unlicense|cc0)"),
+    "proprietary": (r"proprietary licen[sc]e", r"proprietary"),
+}
+PASSAGES: dict[str, list[str]] = {
+    "mit": ["permission is hereby granted free of charge", "any person obtaining a copy of this software"],
+    "gpl": ["terms of the gnu general public licen[sc]e"],
+    "lgpl": ["terms of the gnu (?:lesser|library) general public licen[sc]e"],
+    "bsd": ["redistributions? (?:and use )?in source and binary forms?"],
+    "mpl": ["subject to the terms of the mozilla public licen[sc]e"],
+    "isc": ["permission to use copy modify and or distribute"],
+    "public-domain": ["free and unencumbered software", "(?:released|placed|dedicated)(?: [a-z0-9]++){0,4} (?:in|into|to) the public domain"],
+    "proprietary": ["all rights reserved", "unauthori[sz]ed (?:copying|reproduction|use|distribution) of this"],
+}
+_LEADS = "(?:licen[sc]ed|released|distributed|available|published|provided|offered|issued|governed|covered|redistributed?|terms|conditions|subject to)"
+
+#: Beginnings of words of which every notice_pattern needs one.
+ANCHOR = r"(?<![a-z0-9])(?:apache|mit(?![a-z])|expat|l?gpl|gnu|0?bsd|mozilla|mpl|attribution|cc(?![a-z])|isc(?![a-z])|unlicense|proprietary|permission|any[^a-z0-9]+person|redistribution|unencumbered|public|rights|unauthori)"
+
+
+def notice_pattern(family: str) -> str:
+    """A pattern, for lower-cased text, of what tells a notice of ``family`` in a paragraph
+    however its lines are wrapped: a passage; a name behind a word of licensing, nine words
+    on at most, or alone on its line; an identifier behind ``under``, or behind an SPDX tag
+    or ``license:`` on the same line."""
+    name, short = NAMES[family]
+    name = f"(?:{name})"
+    near = "(?:[^a-z0-9\\n]++[a-z0-9]++){0,6}[^a-z0-9\\n]++"
+    ways = [
+        *PASSAGES.get(family, []),
+        f"{_LEADS}(?: [a-z0-9]++){{0,8}} {name}",
+        f"(?:licen[sc]ed|released|distributed|available|published) under(?: (?:the|a|an|terms|of))*? {short}",
+    ]
+    ends = "(?![a-z0-9])"
+    worded = f"(?<![a-z0-9])(?:{'|'.join(ways)}){ends}"
+    titled = f"(?m:^[^a-z0-9\\n]*+(?:the )?{name}(?: {_VERSION}| clause)*[^a-z0-9\\n]*+$)"
+    tagged = f"(?<![a-z0-9])(?:identifier|licen[sc]e)[\"'\\t]*+[:=](?:{near}|[^a-z0-9\\n]*+)(?<![a-z0-9]){short}{ends}"
+    return "|".join(x.replace(" ", _GAP) for x in (worded, titled, tagged))
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, not for each element of a lambda."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def scan(docs: DataFrame, model: dict | None = None, share: float = 0.8, column: str = "text", window: int = 64, lines: int = 8) -> DataFrame:
+    """``docs`` with licenses: array of (paragraph, family, probability, similarity), by
+    the number of the line (from 0) where a notice begins, then by family.
+
+    A paragraph is the lines up to one without a word. A notice is found in it by a
+    family's characteristic passages, names and identifiers, over line breaks
+    (notice_pattern), or if the classifier gives a family at the calibrated level at
+    least to a line, or to a window of ``window`` words, and that holds ``share`` of the
+    distinct words of one of the family's templates. Windows begin with each line, and at
+    every half window in longer ones, and run on over at most ``lines`` lines; lines of more
+    than ``window`` words are judged by windows only, and a window's notice is told of
+    where no line of it, nor the window one line on, tells of the family. probability is
+    the classifier's for the family, similarity the greatest share of a template.
+
+    Words are runs of ASCII letters and digits, lower-cased. Parts without any of the
     cue words can't hold that share of any template and are passed over before
     their grams are made, which changes no result. No shuffle.
 
-    A null or empty text has no paragraphs that fit; repeated rows give a row each; an
+    A null or empty text has no notices; repeated rows give a row each; an
     empty table gives none; the lesser family name wins a tie. A column named
     licenses is replaced."""
     m = train() if model is None else model
     text = F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))
-    cue = f"(?i)(?:{'|'.join(cues(share))})"
+    cue = f"(?:{'|'.join(cues(share))})"
     families = m["classes"][:-1]
     kept = {g: w for g, w in sorted(m["weights"].items())}
     table = json.dumps({g: [round(v, 6) for v in w] for g, w in kept.items()})
     by_gram = F.from_json(F.lit(table), "map<string,array<double>>")  # a constant of the plan
     templates = F.array(*[F.struct(F.lit(f).alias("family"), F.array(*[F.lit(w) for w in sorted(set(split_words(t)))]).alias("words")) for f in families for t in TEMPLATES[f]])
     nothing = F.array(*[F.lit(0.0)] * len(m["classes"]))
+    names = F.array(*map(F.lit, families))
+    LINE, WINDOW, NOTICE = 0, 1, 2
+
+    def worded(t: Column) -> Column:
+        return F.regexp_extract_all(t, F.lit("[a-z0-9]+"), F.lit(0))
+
+    def unit(place: Column, kind: int, words: Column, named: Column | None = None) -> Column:
+        return F.struct(place.alias("place"), F.lit(kind).alias("kind"), words.alias("words"), (F.lit(None).cast("string") if named is None else named).alias("named"))
+
+    def running(rows: Column, i: Column) -> Column:
+        """Line i and those that follow in its paragraph."""
+        later = F.transform(F.slice(rows, i + 2, lines - 1), lambda t: F.substring(t, 1, 8 * window))
+        return F.split(F.concat_ws("\n", F.element_at(rows, i + 1), later), "\n[^a-z0-9\n]*+(?:\n|$)", 2)[0]
+
+    def parts(rows: Column) -> Column:
+        def of_line(t: Column, i: Column) -> Column:
+            def of_words(own: Column, run: Column) -> Column:
+                alone = F.when((F.size(own) <= window) & t.rlike(cue), F.array(unit(i, LINE, own)))
+                starts = F.sequence(F.lit(0), F.size(own) - 1, F.lit(window // 2))
+                more = F.when(F.size(own) > 0, _bound(worded(run), lambda w: F.transform(starts, lambda o: unit(i, WINDOW, F.slice(w, o + 1, window)))))
+                wide = F.filter(F.coalesce(more, none), lambda u: F.array_join(u["words"], " ").rlike(cue))
+                return F.concat(F.coalesce(alone, none), wide)
+
+            return _bound(worded(t), lambda own: of_words(own, running(rows, i)))
+
+        cued = lambda marks: F.zip_with(rows, marks, lambda t, c: F.struct(t.alias("t"), c.alias("c")))
+        near = lambda x: F.transform(x, lambda p, i: F.when(F.exists(F.slice(x, i + 1, lines), lambda q: q["c"]), of_line(p["t"], i)).otherwise(none))
+        return F.flatten(_bound(cued(F.transform(rows, lambda t: t.rlike(cue))), near))
+
+    def notices(low: Column, rows: Column) -> Column:
+        def of_family(f: str) -> Column:
+            pattern = notice_pattern(f)
+            marked = F.split(F.regexp_replace(F.translate(low, "\x01", ""), pattern, "\x01$0"), "\n", -1)
+            found = F.filter(F.transform(marked, lambda t, i: F.struct(i.alias("i"), t.contains("\x01").alias("hit"))), lambda x: x["hit"])
+            units = F.transform(found, lambda x: unit(x["i"], NOTICE, F.slice(worded(running(rows, x["i"])), 1, window), F.lit(f)))
+            return F.when(low.rlike(pattern), units).otherwise(none)
+
+        return F.concat(*map(of_family, families))
+
+    none = F.array().cast("array<struct<place:int,kind:int,words:array<string>,named:string>>")
 
     def judged(p: Column) -> Column:
-        words = F.regexp_extract_all(F.lower(p["text"]), F.lit("[a-z0-9]+"), F.lit(0))
+        words = p["words"]
         pairs = F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
         own = F.array_distinct(F.concat(words, pairs))
         start = F.array(*[F.lit(round(b, 6)) for b in m["bias"]])
         z = F.aggregate(own, start, lambda s, g: F.zip_with(s, F.coalesce(F.element_at(by_gram, g), nothing), lambda a, b: a + b))
-        return F.struct(p["place"].alias("place"), F.array_distinct(words).alias("words"), z.alias("z"))
+        return F.struct(p["place"].alias("place"), p["kind"].alias("kind"), p["named"].alias("named"), F.array_distinct(words).alias("words"), z.alias("z"))
 
     def softened(p: Column) -> Column:
         top = F.array_max(p["z"])
         e = F.transform(p["z"], lambda x: F.exp((x - top) / m["heat"]))
         total = F.aggregate(e, F.lit(0.0), lambda s, x: s + x)
         known = F.slice(e, 1, len(families))
-        best = F.array_position(known, F.array_max(known)).cast("int")
-        return F.struct(p["place"].alias("place"), p["words"].alias("words"), F.element_at(F.array(*map(F.lit, families)), best).alias("family"), (F.array_max(known) / total).alias("probability"))
+        best = F.coalesce(F.array_position(names, p["named"]), F.array_position(known, F.array_max(known))).cast("int")
+        return F.struct(p["place"].alias("place"), p["kind"].alias("kind"), p["words"].alias("words"), F.element_at(names, best).alias("family"), (F.element_at(known, best) / total).alias("probability"))
 
     def compared(p: Column) -> Column:
         own = F.filter(templates, lambda t: t["family"] == p["family"])
         like = F.transform(own, lambda t: F.size(F.array_intersect(t["words"], p["words"])).cast("double") / F.size(t["words"]))
-        return F.struct(p["place"].cast("long").alias("paragraph"), p["family"].alias("family"), F.round(p["probability"], 4).alias("probability"), F.round(F.array_max(like), 4).alias("similarity"))
-
-    lines = F.transform(F.split(text, "\n", -1), lambda t, i: F.struct(i.alias("place"), t.alias("text")))
-    some = F.filter(lines, lambda p: p["text"].rlike(cue))
-    found = F.transform(F.transform(F.transform(some, judged), softened), compared)
-    fits = F.filter(found, lambda p: (p["probability"] >= m["level"]) & (p["similarity"] >= share))
-    kind = "array<struct<paragraph:bigint,family:string,probability:double,similarity:double>>"
-    return docs.withColumn("licenses", F.when(text.rlike(cue), fits).otherwise(F.array().cast(kind)))
+        return F.struct(p["place"].cast("long").alias("paragraph"), p["family"].alias("family"), F.round(p["probability"], 4).alias("probability"), F.round(F.array_max(like), 4).alias("similarity"), p["kind"].alias("kind"))
+
+    def told(found: Column) -> Column:
+        """One of each family and line; of windows, those that nothing nearer tells of."""
+
+        def first(p: Column) -> Column:
+            same = F.filter(found, lambda q: q["family"] == p["family"])
+            nearer = F.exists(same, lambda q: F.when(q["kind"] == WINDOW, q["paragraph"] == p["paragraph"] + 1).otherwise((q["paragraph"] >= p["paragraph"]) & (q["paragraph"] < p["paragraph"] + lines)))
+            by_line = F.exists(same, lambda q: (q["kind"] == LINE) & (q["paragraph"] == p["paragraph"]))
+            return F.when(p["kind"] == LINE, True).when(p["kind"] == NOTICE, ~by_line).otherwise(~nearer)
+
+        return F.array_distinct(F.transform(F.filter(found, first), lambda p: F.struct(*[p[c].alias(c) for c in ("paragraph", "family", "probability", "similarity")])))
+
+    def judge(units: Column) -> Column:
+        found = F.transform(F.transform(F.transform(units, judged), softened), compared)
+        fits = F.filter(found, lambda p: (p["kind"] == NOTICE) | (p["probability"] >= m["level"]) & (p["similarity"] >= share))
+        return F.array_sort(_bound(fits, told))
+
+    whole = _bound(F.lower(text), lambda low: _bound(F.split(low, "\n", -1), lambda rows: judge(F.concat(F.when(low.rlike(cue), parts(rows)).otherwise(none), F.when(low.rlike(ANCHOR), notices(low, rows)).otherwise(none)))))
+    return docs.withColumn("licenses", whole)
 
 
 def report(scanned: DataFrame) -> DataFrame:

@@ -185,6 +185,28 @@ def test_licenses(spark, docs):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+def test_licenses_wrapped_and_reworded(spark):
+    mit = "MIT License\n\nCopyright (c) 2020 A\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction"
+    notices = [
+        ("mit", mit, "0:mit,4:mit"),
+        ("gpl", " * This program is free software; you can redistribute it and/or\n * modify it under the terms of the GNU General\n * Public License as published by the FSF", "1:gpl"),
+        ("lgpl", "# Distributed under the terms of the GNU\n# Lesser General Public License", "0:lgpl"),
+        ("isc", "Permission to use, copy, modify,\nand/or distribute this software is granted", "0:isc"),
+        ("bsd", "Redistribution and use in source\nand binary forms are allowed", "0:bsd"),
+        ("gpl", "words\nLicensed under the GNU General Public License v2", "1:gpl"),
+        ("apache", "// SPDX-License-Identifier: Apache-2.0", "0:apache"),
+        ("lgpl", "SPDX-License-Identifier: LGPL-2.1-or-later", "0:lgpl"),
+        ("mpl", "It is made available to all under version 2 of the Mozilla Public Licence", "0:mpl"),
+        ("mit", "prose " * 300 + "released under the MIT license " + "prose " * 300, "0:mit"),
+        ("mit", "Copyright. Permission hereby granted, free of charge, to any person\nobtaining copy of this software and its associated documentation\nfiles, to deal in the software without restriction", "0:mit"),
+    ]
+    plain = ["MIT und ohne Lizenz", "He studied at MIT under a general plan and the public paid", "licensed under\n\nMIT license fees were paid by the GNU", "all rights\n\nreserved"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*[n[1] for n in notices], *plain])], "doc_id long, text string")
+    got = {r.doc_id: (r.families, r.places) for r in licenses.report(licenses.scan(df)).collect()}
+    assert [got[i] for i in range(len(notices))] == [(f, p) for f, _, p in notices]
+    assert [got[len(notices) + i][0] for i in range(len(plain))] == [""] * len(plain)
+
+
 def test_url_rules_by_brute_force(spark):
     urls = [None, "", "no host", "http://", "://x", "HTTP://COM/en/7", "http://a.example.com/en/7?x", "http://example.com/en/8#/en/7", "http://.com/en/", "http://xcom/en/", "http://a.b.net/de/8", "http://example.net/de/80", "x://y.org?/es/", "http://u@a.com:80/en/"] * 3
     rules = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("", "/", "block")]
