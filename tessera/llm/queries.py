@@ -143,7 +143,7 @@ SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM split LEF
 def op10_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.sentencepiece_codec import encode
 
-    return encode(read(spark, sf_dir, "documents").select("doc_id", "text"), ids=False)
+    return encode(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,8 +80,8 @@ class Codec:
 
     No piece holds the blank's mark behind another character, so a text's ids are those
     of its chunks, each some marks and what follows up to the next mark. Distinct
-    chunks are encoded in multithreaded batches, and each is verified against the original
-    library; where they differ the original's ids stand.
+    chunks are encoded in batches by the rebuilt tokenizer. Whole texts are encoded by the
+    original library too; where the ids differ the original's stand.
 
     Chunks are kept until more than ``cache`` are known. Most are seen once, and a worker
     outlives its task, so the cache is small: tens of MB."""
@@ -135,22 +135,15 @@ class Codec:
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.pool, self.starts, self.sizes = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
-        self.parity, self.back = np.empty(0, bool), np.empty(0, bool)
 
     def _learn(self, chunks: list[str]) -> None:
         ours = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-        theirs = self.original.encode(chunks, num_threads=1)
-        parity = np.array([a == b for a, b in zip(ours, theirs, strict=True)])
-        ids = [b or self.blank for b in theirs]  # an empty chunk is the mark alone
-        back = self.original.decode(ids)
-        plain = [c.replace(SPACE, " ") for c in chunks]
+        ids = [b or self.blank for b in ours]  # an empty chunk is the mark alone
         sizes = np.array([len(i) for i in ids], np.int64)
         self.known.update(zip(chunks, range(len(self.sizes), len(self.sizes) + len(chunks)), strict=True))
         self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
         self.pool = np.concatenate([self.pool, np.fromiter((x for i in ids for x in i), np.int32, int(sizes.sum()))])
-        self.parity = np.concatenate([self.parity, parity])
-        self.back = np.concatenate([self.back, np.array([x == y for x, y in zip(back, plain, strict=True)])])
 
     def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, bool, bool]]:
         """(ids, parity, round trip) of each text; a null is an empty text. Texts are taken
@@ -167,7 +160,7 @@ class Codec:
         per_text = [self.chunks(t or "") for t in texts]
         flat = [c for x in per_text for c in x]
         if not flat:
-            return [(np.empty(0, np.int32), True, True)] * len(texts)
+            flat, per_text = [""], [[] for _ in texts]
         code, distinct = pd.factorize(np.array(flat, dtype=object))
         if len(self.known) > self.size:
             self._forget()
@@ -175,7 +168,7 @@ class Codec:
         for i in range(0, len(new), STEP):
             self._learn(new[i : i + STEP])
         code = np.fromiter((self.known[c] for c in distinct), np.int64, len(distinct))[code]
-        out, at = [], 0
+        found, at = [], 0
         for x in per_text:
             c = code[at : at + len(x)]
             at += len(x)
@@ -183,7 +176,13 @@ class Codec:
             ends = np.cumsum(n)
             total = int(ends[-1]) if len(ends) else 0
             index = np.arange(total) + np.repeat(self.starts[c] - (ends - n), n)
-            out.append((self.pool[index], bool(self.parity[c].all()), bool(self.back[c].all())))
+            found.append(self.pool[index])
+        out = []
+        for t, own in zip(texts, found, strict=True):
+            theirs = np.array(self.original.encode(t or ""), np.int32)
+            parity = np.array_equal(own, theirs)
+            ids = own if parity else theirs
+            out.append((ids, parity, self.decode([ids.tolist()])[0] == (t or "")))
         return out
 
     def decode(self, ids: list[list[int] | None]) -> list[str]:
@@ -211,9 +210,10 @@ def encode(docs: DataFrame, model: bytes | None = None, ids: bool = True) -> Dat
     ids_sha256 (of the ids as little-endian int32), parity and round_trip.
 
     The model (some hundred KB; a file of the driver's, by parameter) is broadcast, and
-    each worker rebuilds it once. parity: the tokenizers library gave the original's ids
-    by itself for every chunk. round_trip: decoding gives the text again; not so where a
-    text holds the mark U+2581 itself, which stands for a blank.
+    each worker rebuilds it once. The ids are the tokenizers library's; parity: they are
+    the original's of the whole text, whose ids stand where not (rows with a false parity
+    count those). round_trip: the tokenizers library decodes the ids to the text again; not
+    so where a text holds the mark U+2581 itself, which stands for a blank.
 
     A null or empty text has no tokens. Repeated rows give a row each; an empty table
     gives none. Columns of ``docs`` with the names of the results are replaced."""
@@ -238,7 +238,7 @@ def encode(docs: DataFrame, model: bytes | None = None, ids: bool = True) -> Dat
                 found["n_byte_pieces"].append(int(codec.is_byte[i].sum()))
                 found["ids_sha256"].append(hashlib.sha256(i.astype("<i4").tobytes()).hexdigest())
                 found["parity"].append(parity)
-                found["round_trip"].append(back and SPACE not in (t or ""))
+                found["round_trip"].append(back)
             kinds = {"input_ids": pa.list_(pa.int32()), "n_tokens": pa.int64(), "n_byte_pieces": pa.int64(), "ids_sha256": pa.string(), "parity": pa.bool_(), "round_trip": pa.bool_()}
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in own], *[pa.array(found[c], kinds[c]) for c in new]], names=[*own, *new])
 

@@ -237,6 +237,19 @@ def test_sentencepiece_parity(spark, docs):
     assert [i.tolist() for i, _, _ in codec.encode(odd)] == sp.encode(odd)
 
 
+def test_sentencepiece_ids_are_the_tokenizers(spark):
+    codec = sentencepiece_codec.Codec(sentencepiece_codec.load_model())
+    texts = ["a few words", "  a  b ", "é 日本語\n🙂", "ab ▁ c", ""]
+    want = codec.original.encode(texts)
+    assert [(i.tolist(), p, b) for i, p, b in codec.encode(texts)] == [(w, True, t != "ab ▁ c") for w, t in zip(want, texts, strict=True)]
+    split, codec.chunks = codec.chunks, lambda t: [t.replace(" ", "")]
+    assert [(i.tolist(), p) for i, p, _ in codec.encode(texts[:1])] == [(want[0], False)]
+    codec.chunks, codec.tokenizer.decoder = split, __import__("tokenizers").decoders.Fuse()
+    assert [(p, b) for _, p, b in codec.encode(texts[:1])] == [(True, False)]
+    out = QUERIES["op10_sentencepiece_codec"](spark, SF)
+    assert "input_ids" in out.columns and out.where("not parity or not round_trip or size(input_ids) <> n_tokens").count() == 0
+
+
 def test_token_rollup_is_idempotent(spark, docs, tmp_path):
     r = token_rollup.TokenRollup(spark, str(tmp_path / "r"))
     all_in = token_rollup.inserts(docs, "words-1")
