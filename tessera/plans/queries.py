@@ -298,7 +298,7 @@ def attribute_projection(spark, sf):
 def features_at_point(spark, sf):
     at = customers(spark, sf).where("c_custkey = 5").select("mx", "my").first()
     found = decode.features_at(customer_tiles(spark, sf), at.mx if at else 0.0, at.my if at else 0.0, 20_000.0) if at else decode.features(customer_tiles(spark, sf).limit(0))
-    return found.where("fid = 5").select(F.col("fid").alias("c_custkey")).distinct()
+    return found.select(F.col("fid").alias("c_custkey")).distinct()
 
 
 @query(_TILED + "SELECT x, y, CAST(row_number() OVER (PARTITION BY x, y ORDER BY f) - 1 AS BIGINT) AS idx, c_mktsegment AS segment FROM (SELECT x, y, c_mktsegment, min(c_custkey) AS f FROM u GROUP BY 1, 2, 3)")

@@ -169,3 +169,11 @@ def test_tile_files(spark, tmp_path):
     tiles.write.format("mvt").mode("append").save(str(tmp_path))
     back = spark.read.format("mvt").load(str(tmp_path))
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, tiles.collect()))
+
+
+def test_features_at_point_returns_every_neighbour(spark, tmp_path):
+    """Places repeat after 16,383 customers."""
+    base = spark.read.parquet(f"{SF}/customer.parquet").where("c_custkey in (5, 6)")
+    twin = base.where("c_custkey = 5").withColumn("c_custkey", F.col("c_custkey") + 16383)
+    base.unionByName(twin.select(*[F.col(f.name).cast(f.dataType) for f in base.schema])).write.parquet(str(tmp_path / "customer.parquet"))
+    assert sorted(r.c_custkey for r in QUERIES["features_at_point"](spark, str(tmp_path)).collect()) == [5, 16388]
