@@ -171,31 +171,33 @@ def _word_codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, list[str]]) -> DataFrame:
-    """``docs`` with lang_pred and score.
+    """``docs`` with lang_pred, score and likelihood.
 
     A text's likelihood in a language is the product over its words of the sum over all
     segmentations of the word's pieces (a forward pass, in batches of distinct words).
     score is the posterior of lang_pred among the learned languages, all alike before,
     with the log-likelihood divided by the root of the number of words. Ties go to the
-    lesser name. The model (pieces by languages) is broadcast; the vocabulary bounds it.
+    lesser name. likelihood is the mean log-likelihood, in lang_pred, of a letter or a
+    word's beginning. The model (pieces by languages) is broadcast; the vocabulary bounds it.
 
-    A null or empty text, or one without a letter, is ``und`` with score 0; so is every
+    A null or empty text, or one without a letter, is ``und`` with score and likelihood 0; so is every
     text if no language was learned. Repeated rows give a row each; an empty
-    table none. Columns of ``docs`` named lang_pred or score are replaced."""
+    table none. Columns of ``docs`` named lang_pred, score or likelihood are replaced."""
     spark = docs.sparkSession
     bounded_batches(spark)
     held = spark.sparkContext.broadcast(model)
-    own = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    own = [c for c in docs.columns if c not in ("lang_pred", "score", "likelihood")]
     kept = docs.select(*[F.col(f"`{c}`").cast("string").alias(c) if c == "text" else F.col(f"`{c}`") for c in own])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, p, pieces = held.value
         lattice = Lattice(pieces)
         for batch in batches:
-            preds, scores = ["und"] * len(batch), [0.0] * len(batch)
+            preds, scores, likely = ["und"] * len(batch), [0.0] * len(batch), [0.0] * len(batch)
             sizes, code, distinct = _word_codes(batch.column("text"))
             if len(code) and langs:
                 of_word = np.empty((len(distinct), len(langs)))
+                letters = np.array([len(w) + 1 for w in distinct])
                 for g in _groups(distinct):
                     of_word[g] = lattice.forward([distinct[i] for i in g], p)
                 full = np.flatnonzero(sizes)
@@ -205,14 +207,15 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, list[str]]) ->
                     low = starts[part]
                     high = starts[part + len(f) - 1] + sizes[f[-1]]
                     sums = np.add.reduceat(of_word[code[low:high]], starts[part : part + len(f)] - low, axis=0)
+                    each = sums / np.add.reduceat(letters[code[low:high]], starts[part : part + len(f)] - low)[:, None]
                     sums = sums / np.sqrt(sizes[f])[:, None]
                     top = sums.argmax(axis=1)
                     share = 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
-                    for i, k, s in zip(f, top, share, strict=True):
-                        preds[i], scores[i] = langs[k], float(s)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in own], pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=[*own, "lang_pred", "score"])
+                    for i, k, s, e in zip(f, top, share, each, strict=True):
+                        preds[i], scores[i], likely[i] = langs[k], float(s), float(e[k])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in own], pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(likely, pa.float64())], names=[*own, "lang_pred", "score", "likelihood"])
 
-    return kept.mapInArrow(run, extended(kept.schema, "lang_pred string, score double"))
+    return kept.mapInArrow(run, extended(kept.schema, "lang_pred string, score double, likelihood double"))
 
 
 def held_out() -> Column:

@@ -277,3 +277,15 @@ def test_pipeline_keeps_clean_documents(spark):
     links = {r.doc_id for r in jaccard_join.jaccard_components(docs).where("doc_id = component_id").collect()}
     hit = {r.doc_id for r in decontaminate.benchmark_hits(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).where("hit_words is not null").collect()}
     assert kept == links - hit and all(r.n_tokens == len(r.input_ids) and r.parity for r in out)
+
+
+def test_pipeline_language_takes_effect(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    one = docs.where("lang = 'fr' and length(text) > 200").limit(1).withColumns({"doc_id": F.lit(-1).cast("long"), "lang": F.lit("en")})
+    junk = one.withColumns({"doc_id": F.lit(-2).cast("long"), "text": F.lit("xqzvk wjpqt zzxk qqwv jkxz vbnq wrtp xcvb")})
+    got = {r.doc_id: r.lang for r in corpus_pipeline.identify_language(spark, docs.unionByName(one).unionByName(junk), SF).collect()}
+    assert got[-1] == "fr" and -2 not in got and docs.where(~F.col("doc_id").isin(list(got))).count() == 0
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.identify_language(spark, bare, SF).count() == docs.count()
