@@ -6,21 +6,22 @@ import hashlib
 import re
 import struct
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import bounded_batches, extended
+from tessera.llm.shared import bounded_batches, extended, kept, lean
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 SLICE = 1 << 20
-STEP = 1 << 13
+STEP = 1 << 14
+PART = 256  # chunks in one string
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -79,16 +80,17 @@ class Codec:
     """A tokenizer rebuilt from a SentencePiece model, with the original beside it.
 
     No piece holds the blank's mark behind another character, so a text's ids are those
-    of its chunks, each some marks and what follows up to the next mark. Distinct
-    chunks are encoded in batches by the rebuilt tokenizer. Whole texts are encoded by the
-    original library too; where the ids differ the original's stand.
+    of its chunks, each some marks and what follows up to the next mark. Distinct chunks
+    are put together to strings of PART chunks, which the rebuilt tokenizer, with the mark
+    as its pre-tokenizer's cut, encodes in a batch (multithreaded) and decodes again. Whole
+    texts are encoded by the original library too; where the ids differ the original's stand.
 
-    Chunks are kept until more than ``cache`` are known. Most are seen once, and a worker
-    outlives its task, so the cache is small: tens of MB."""
+    Chunks are kept for two generations of ``cache`` each, so that frequent ones stay.
+    Most are seen once, and a worker outlives its task, so the cache is small: tens of MB."""
 
-    def __init__(self, data: bytes, cache: int = 1 << 18):
+    def __init__(self, data: bytes, cache: int = 1 << 17):
         import sentencepiece
-        from tokenizers import Regex, Tokenizer, decoders, models, normalizers
+        from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
         m = parse_model(data)
         if m["type"] not in (UNIGRAM, BPE) or m["suffix"] or not m["escape"]:
@@ -107,18 +109,17 @@ class Codec:
             merges.sort(key=lambda x: x[:3])
             model = models.BPE(vocab=ids, merges=[x[3] for x in merges], unk_token=texts[m["unk_id"]], fuse_unk=True, byte_fallback=bool(m["byte_fallback"]))
         self.tokenizer = Tokenizer(model)
-        self.tokenizer.normalizer = normalizers.Sequence([normalizers.Prepend(SPACE), normalizers.Replace(" ", SPACE)])
+        self.tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(f"{SPACE}+[^{SPACE}]*"), "isolated")
         self.tokenizer.decoder = decoders.Sequence([decoders.Replace(SPACE, " "), decoders.ByteFallback(), decoders.Fuse(), decoders.Strip(" ", 1, 0)])
         before = [normalizers.Precompiled(m["charsmap"])] if m["charsmap"] else []
         if m["single_blanks"]:
             before += [normalizers.Replace(Regex(f"[ {SPACE}]+"), " "), normalizers.Strip()]
         self.before = normalizers.Sequence(before) if before else None
-        self.prefix = bool(m["dummy_prefix"])
-        if not self.prefix:
+        if not m["dummy_prefix"]:
             raise ValueError("only models that put a mark before a text")
         self.original = sentencepiece.SentencePieceProcessor(model_proto=data)
-        self.blank = [ids[SPACE]] if SPACE in ids else self.original.encode(f"a{SPACE}")[len(self.original.encode("a")) :]
         self.is_byte = np.array([kind == BYTE for _, _, kind in m["pieces"]])
+        self.marked = np.array([t.startswith(SPACE) for t in texts])
         self.size = cache
         self._forget()
 
@@ -128,22 +129,54 @@ class Codec:
             text = self.before.normalize_str(text)
         if not text:
             return []
-        if "  " not in text and SPACE not in text and text[0] != " ":
+        if "  " not in text and SPACE not in text and text[0] != " " and text[-1] != " ":
             return text.split(" ")
         return [c[1:] for c in re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + text.replace(" ", SPACE))]
 
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.pool, self.starts, self.sizes = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+    def _tokens(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of chunks, the number of each one's ids, and whether they decode to it."""
+        plain = all(c and SPACE not in c for c in chunks)
+        parts = [chunks[i : i + PART] for i in range(0, len(chunks), PART)] if plain else [[c] for c in chunks]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([SPACE + SPACE.join(p) for p in parts], add_special_tokens=False)]
+        back = self.tokenizer.decode_batch(found, skip_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(found), np.int32)
+        good = np.array([b == " ".join(p) for b, p in zip(back, parts, strict=True)], bool)
+        if not plain:
+            good = np.array([b == c.replace(SPACE, " ") for b, c in zip(back, chunks, strict=True)], bool)
+            return ids, np.array([len(i) for i in found], np.int32), good
+        first = np.flatnonzero(self.marked[ids])
+        if len(first) != len(chunks) or first[0] or (not good.all() and len(chunks) > 1):
+            each = [self._tokens([c]) for c in chunks] if len(chunks) > 1 else [(ids, np.array([len(ids)], np.int32), good)]
+            return tuple(np.concatenate(x) for x in zip(*each, strict=True))
+        return ids, np.diff(np.append(first, len(ids))).astype(np.int32), np.repeat(good, [len(p) for p in parts])
 
     def _learn(self, chunks: list[str]) -> None:
-        ours = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-        ids = [b or self.blank for b in ours]  # an empty chunk is the mark alone
-        sizes = np.array([len(i) for i in ids], np.int64)
-        self.known.update(zip(chunks, range(len(self.sizes), len(self.sizes) + len(chunks)), strict=True))
-        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.pool = np.concatenate([self.pool, np.fromiter((x for i in ids for x in i), np.int32, int(sizes.sum()))])
+        at = len(self.sizes)
+        odd = [c for c in chunks if not c or SPACE in c]
+        chunks = [*[c for c in chunks if c and SPACE not in c], *odd]
+        got = [self._tokens(part) for part in (chunks[: len(chunks) - len(odd)], odd) if part]
+        ids, sizes, good = (np.concatenate(x) for x in zip(*got, strict=True))
+        self.known.update(zip(chunks, range(at, at + len(chunks)), strict=True))
+        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes, dtype=np.int64) - sizes])
+        self.sizes, self.whole = np.concatenate([self.sizes, sizes]), np.concatenate([self.whole, good])
+        self.pool = np.concatenate([self.pool, ids])
+
+    def _forget(self) -> None:
+        """What is kept of chunks holds for the decoder that they were tried with."""
+        self.decoder = self.tokenizer.decoder.__getstate__()
+        self.pool, self.starts, self.sizes, self.whole = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, bool)
+        self.known: dict[str, int] = {}
+        self.older: dict[str, int] = {}
+
+    def _next_generation(self) -> None:
+        """Forget the chunks that were not met since the last generation began."""
+        places = np.fromiter(self.known.values(), np.int64, len(self.known))
+        self.older = dict(zip(self.known, range(len(places)), strict=True))
+        self.known = {}
+        sizes = self.sizes[places]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        index = np.arange(int(sizes.sum())) + np.repeat(self.starts[places] - (ends - sizes), sizes)
+        self.pool, self.starts, self.sizes, self.whole = self.pool[index], ends - sizes, sizes, self.whole[places]
 
     def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, bool, bool]]:
         """(ids, parity, round trip) of each text; a null is an empty text. Texts are taken
@@ -158,46 +191,46 @@ class Codec:
 
     def _encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, bool, bool]]:
         per_text = [self.chunks(t or "") for t in texts]
-        flat = [c for x in per_text for c in x]
-        if not flat:
-            flat, per_text = [""], [[] for _ in texts]
-        code, distinct = pd.factorize(np.array(flat, dtype=object))
-        if len(self.known) > self.size:
+        lengths = [len(x) for x in per_text]
+        same = [" ".join(x).replace(SPACE, " ") == (t or "") for t, x in zip(texts, per_text, strict=True)]
+        flat = list(chain.from_iterable(per_text))
+        del per_text
+        if self.tokenizer.decoder.__getstate__() != self.decoder:
             self._forget()
-        new = [c for c in distinct if c not in self.known]
-        for i in range(0, len(new), STEP):
-            self._learn(new[i : i + STEP])
-        code = np.fromiter((self.known[c] for c in distinct), np.int64, len(distinct))[code]
-        found, at = [], 0
-        for x in per_text:
-            c = code[at : at + len(x)]
-            at += len(x)
+        elif len(self.known) > self.size:
+            self._next_generation()
+        known, older = self.known, self.older
+        place = np.fromiter(map(known.get, flat, repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(place < 0)
+        flat = [flat[i] for i in missing.tolist()]
+        new = set(flat)
+        met = new & older.keys()
+        known.update(zip(met, map(older.__getitem__, met), strict=True))
+        fresh = sorted(new - met)
+        for i in range(0, len(fresh), STEP):
+            self._learn(fresh[i : i + STEP])
+        place[missing] = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
+        del flat
+        originals = self.original.encode([t or "" for t in texts], num_threads=1)
+        out, at = [], 0
+        for t, k, s, theirs in zip(texts, lengths, same, originals, strict=True):
+            c = place[at : at + k]
+            at += k
             n = self.sizes[c]
-            ends = np.cumsum(n)
-            total = int(ends[-1]) if len(ends) else 0
-            index = np.arange(total) + np.repeat(self.starts[c] - (ends - n), n)
-            found.append(self.pool[index])
-        out = []
-        for t, own in zip(texts, found, strict=True):
-            theirs = np.array(self.original.encode(t or ""), np.int32)
+            ends = np.cumsum(n, dtype=np.int64)
+            own = self.pool[np.arange(int(ends[-1]) if k else 0) + np.repeat(self.starts[c] - (ends - n), n)]
+            theirs = np.array(theirs, np.int32)
             parity = np.array_equal(own, theirs)
-            ids = own if parity else theirs
-            out.append((ids, parity, self.decode([ids.tolist()])[0] == (t or "")))
+            back = s and bool(self.whole[c].all()) if parity else self.decode([theirs.tolist()])[0] == (t or "")
+            out.append((own if parity else theirs, parity, back))
         return out
 
     def decode(self, ids: list[list[int] | None]) -> list[str]:
         return self.tokenizer.decode_batch([list(i or ()) for i in ids], skip_special_tokens=False)
 
 
-_codecs: dict[str, Codec] = {}
-
-
 def _codec(data: bytes) -> Codec:
-    name = hashlib.sha256(data).hexdigest()
-    if name not in _codecs:
-        _codecs.clear()
-        _codecs[name] = Codec(data)
-    return _codecs[name]
+    return kept(f"codec-{hashlib.sha256(data).hexdigest()}", lambda: Codec(data))
 
 
 def load_model(path: str = MODEL) -> bytes:
@@ -224,7 +257,7 @@ def encode(docs: DataFrame, model: bytes | None = None, ids: bool = True) -> Dat
     if not ids:
         del new["input_ids"]
     own = [c for c in docs.columns if c not in new and c != "text"]
-    kept = docs.select(*[F.col(f"`{c}`") for c in own], F.col("text").cast("string").alias("text"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in own], F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(held.value)
@@ -242,7 +275,7 @@ def encode(docs: DataFrame, model: bytes | None = None, ids: bool = True) -> Dat
             kinds = {"input_ids": pa.list_(pa.int32()), "n_tokens": pa.int64(), "n_byte_pieces": pa.int64(), "ids_sha256": pa.string(), "parity": pa.bool_(), "round_trip": pa.bool_()}
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in own], *[pa.array(found[c], kinds[c]) for c in new]], names=[*own, *new])
 
-    return kept.mapInArrow(run, extended(kept.drop("text").schema, ", ".join(f"{c} {t}" for c, t in new.items())))
+    return rows.mapInArrow(lean(run), extended(rows.drop("text").schema, ", ".join(f"{c} {t}" for c, t in new.items())))
 
 
 def decode(encoded: DataFrame, model: bytes | None = None) -> DataFrame:
@@ -256,5 +289,5 @@ def decode(encoded: DataFrame, model: bytes | None = None) -> DataFrame:
             text = codec.decode(batch.column("input_ids").to_pylist())
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in own], pa.array(text, pa.string())], names=[*own, "text"])
 
-    kept = encoded.select(*[F.col(f"`{c}`") for c in own], "input_ids")
-    return kept.mapInArrow(run, extended(kept.drop("input_ids").schema, "text string"))
+    rows = encoded.select(*[F.col(f"`{c}`") for c in own], "input_ids")
+    return rows.mapInArrow(lean(run), extended(rows.drop("input_ids").schema, "text string"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -56,9 +59,58 @@ def fold(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary"))
 
 
+#: Bytes of an Arrow batch: with two tasks and both directions, some ten of them at once.
+BATCH_BYTES = 4 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def bounded_batches(spark: SparkSession) -> None:
-    """Long texts: Arrow batches end at 16 MB, not only at 10,000 rows."""
-    try:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-    except Exception:  # noqa: BLE001  a Spark without that setting
-        pass
+    """Long texts: Arrow batches end at BATCH_BYTES, not only at 10,000 rows. The setting is
+    read when a plan runs, so it can't be put back; one that the caller made stands."""
+    if _BATCH_KEY not in spark.conf.getAll:
+        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
+
+
+_kept: dict[str, object] = {}
+
+
+def kept(name: str, build: Callable[[], object]) -> object:
+    """The one object (automaton, tokenizer, tables) that a Python worker holds on to between
+    tasks. Workers outlive their tasks, so another name's object goes first."""
+    if name not in _kept:
+        _kept.clear()
+        trim()
+        _kept[name] = build()
+    return _kept[name]
+
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _trim = None
+
+
+def trim() -> None:
+    """Give freed memory back to the system; a worker would keep its highest level."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, with freed memory given back after each batch."""
+
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(batches):
+            yield batch
+            del batch
+            trim()
+
+    return trimmed
+
+
+def beside(docs: DataFrame, names: list[str], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``work`` of ``docs``, with the columns of ``docs`` and no others; columns of ``docs``
+    that have one of ``names``, which ``work`` sets, are put aside meanwhile."""
+    own = {c: f"_own_{i}_{c}" for i, c in enumerate(docs.columns) if c in names}
+    return work(docs.withColumnsRenamed(own)).select(*[F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns])

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import struct
 
 import numpy as np
 import pytest
@@ -152,10 +153,85 @@ def test_language_forward_sums_all_segmentations():
     assert np.allclose(got, [total("▁" + w) for w in group])
 
 
+def segmented(word, pieces, p):
+    """Sum over all segmentations, by recursion over exact fractions of logs."""
+    a = [1.0] + [0.0] * len(word)
+    for end in range(1, len(word) + 1):
+        for start in range(end):
+            piece = word[start:end]
+            a[end] += a[start] * (p[pieces.index(piece)] if piece in pieces else language_id.UNKNOWN if end - start == 1 else 0.0)
+    return a[-1]
+
+
+def test_language_words_of_any_length_and_real_letters():
+    assert language_id.words("½ ² 12 ① Ⅷ _") == [] and language_id.words("Ab²c1é") == ["ab", "c", "é"]
+    assert language_id.words("x" * 100) == ["x" * 100]
+    pieces = ["▁", "▁a", "a", "b", "ab", "▁ab", "abababababababababab"]
+    p = np.random.default_rng(3).random((len(pieces) + 1, 2)) / 4
+    p[-1] = language_id.UNKNOWN
+    lattice = language_id.Lattice(pieces)
+    for w in ["ab", "ab" * 15, "zzb" * 7, "ab" * 20]:
+        want = [np.log(segmented("▁" + w, pieces, p[:, k])) for k in (0, 1)]
+        assert np.allclose(lattice.forward([w, "a"], p)[0], want) and np.allclose(lattice.forward_long(w, p, block=7), want)
+    long = "abz" * 4000  # far beyond what doubles hold
+    assert np.allclose(lattice.forward([long], p)[0], lattice.forward_long(long, p, block=1000)) and np.isfinite(lattice.forward_long(long, p)).all()
+
+
+def test_language_training_by_brute_force(spark):
+    """Expectation maximisation over every segmentation, written out."""
+    pieces = ["▁", "▁a", "a", "b", "ab", "ba"]
+    counts = {"x": {"ab": 3, "ba": 1, "abc": 2}, "y": {"bb": 5, "a": 1}}
+    rows = [(lang, w, n) for lang, c in counts.items() for w, n in c.items()]
+    got = language_id.fit(spark.createDataFrame(rows, "lang string, word string, n long"), ["x", "y"], pieces, rounds=3)
+
+    def ways(s):
+        if not s:
+            yield []
+        for k in range(1, len(s) + 1):
+            if s[:k] in pieces or k == 1:
+                for rest in ways(s[k:]):
+                    yield [pieces.index(s[:k]) if s[:k] in pieces else len(pieces), *rest]
+
+    for column, lang in enumerate(("x", "y")):
+        p = np.full(len(pieces) + 1, 1 / (len(pieces) + 1))
+        p[-1] = language_id.UNKNOWN
+        for _ in range(3):
+            total = np.zeros(len(pieces) + 1)
+            for w, n in counts[lang].items():
+                each = [(np.prod(p[way]), way) for way in ways("▁" + w)]
+                for weight, way in each:
+                    np.add.at(total, way, n * weight / sum(x for x, _ in each))
+            total[:-1] += 0.01
+            p = total / total[:-1].sum()
+            p[-1] = language_id.UNKNOWN
+        assert np.allclose(got[:, column], p, rtol=1e-4, atol=1e-7)
+
+
+def test_language_prediction_by_brute_force(spark, docs):
+    pieces = language_id.vocabulary()[::40] + list("aeinorst") + ["▁"]
+    pieces = sorted(set(pieces))
+    p = np.random.default_rng(5).random((len(pieces) + 1, 3))
+    p /= p.sum(axis=0)
+    p[-1] = language_id.UNKNOWN
+    got = language_id.identify(docs.where("doc_id <> 8 or doc_id is null"), (["a", "b", "c"], p, pieces)).select("text", "lang_pred", "score").collect()
+    for r in got:
+        w = language_id.words(r.text)
+        if not w:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        z = np.array([sum(np.log(segmented("▁" + x, pieces, p[:, k])) for x in w) for k in range(3)]) / np.sqrt(len(w))
+        assert r.lang_pred == "abc"[int(z.argmax())] and abs(r.score - 1 / np.exp(z - z.max()).sum()) < 1e-6
+
+
+def test_held_out_of_rows_without_an_id(spark, docs):
+    seen = docs.select("doc_id", language_id.held_out().alias("l"), language_id.learnable().alias("n")).where("doc_id is null").collect()
+    assert [(r.l, r.n) for r in seen] == [(False, False)]
+
+
 def test_language_and_quality_held_out(spark, docs):
     sf = "/root/testdata/sf0.01"
     d = spark.read.parquet(f"{sf}/documents.parquet")
-    model = language_id.train(d.where(~language_id.held_out()))
+    model = language_id.train(d.where(language_id.learnable()))
     seen = language_id.identify(d, model).where(language_id.held_out()).agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
     assert seen > 0.97
     edge = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(docs, model).collect()}
@@ -250,6 +326,46 @@ def test_sentencepiece_ids_are_the_tokenizers(spark):
     assert "input_ids" in out.columns and out.where("not parity or not round_trip or size(input_ids) <> n_tokens").count() == 0
 
 
+def test_sentencepiece_from_a_broken_backend_and_small_caches():
+    """The ids are the rebuilt tokenizer's, the original only verifies."""
+    codec, small = (sentencepiece_codec.Codec(sentencepiece_codec.load_model(), cache=c) for c in (1 << 17, 5))
+    texts = ["some words here", "b\x00x b\x00y", "words here again and again", "  a ▁ b ", None, "some words", "x" * 5000 + " y"]
+    want = codec.original.encode([t or "" for t in texts])
+    for t, w in zip(texts, want, strict=True):
+        assert small.encode([t])[0][0].tolist() == w
+    assert [i.tolist() for i, _, _ in codec.encode(texts)] == want and all(p for _, p, _ in codec.encode(texts))
+    codec._forget()
+    codec.original = type("Other", (), {"encode": lambda self, x, **_: [[7]] * len(x)})()
+    assert codec._encode(texts[:1])[0][1] is False  # nothing but the tokenizers library knows these ids
+    assert codec.pool.tolist() == [x for t in sorted(texts[0].split(" ")) for x in sentencepiece_codec.Codec(sentencepiece_codec.load_model()).original.encode(t)]
+
+
+def message(*fields):
+    """A protobuf message of (number, value) fields: whole numbers, floats, texts, messages."""
+    varint = lambda n: bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
+    out = b""
+    for number, value in fields:
+        if isinstance(value, float):
+            out += varint(number << 3 | 5) + struct.pack("<f", value)
+        elif isinstance(value, int):
+            out += varint(number << 3) + varint(value)
+        else:
+            value = value.encode() if isinstance(value, str) else value
+            out += varint(number << 3 | 2) + varint(len(value)) + value
+    return out
+
+
+def test_sentencepiece_unigram_model():
+    """A unigram model with byte fallback, written by hand."""
+    texts = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *[(f"<0x{i:02X}>", 0.0, 6) for i in range(256)]]
+    texts += [(w, -float(i) / 3 - 1, 1) for i, w in enumerate(["▁the", "▁", "the", "▁house", "tree", "s", "▁st", "one", "o", "n", "e", "t", "h", "r", "a", "d", "u", "▁and", "use", "ho"])]
+    data = message(*[(1, message((1, t), (2, s), (3, k))) for t, s, k in texts], (2, message((3, 1), (4, len(texts)), (35, 1))), (3, message((1, "identity"), (3, 1), (4, 0), (5, 1))))
+    codec = sentencepiece_codec.Codec(data)
+    docs = ["the house and the stone", "unseen words é 日本 🙂", "", "  the  trees ", "stones\nand thethe the"]
+    got = codec.encode(docs)
+    assert [i.tolist() for i, _, _ in got] == codec.original.encode(docs) and all(p and b for _, p, b in got)
+
+
 def test_token_rollup_is_idempotent(spark, docs, tmp_path):
     r = token_rollup.TokenRollup(spark, str(tmp_path / "r"))
     all_in = token_rollup.inserts(docs, "words-1")
