@@ -110,7 +110,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import language_id as l
 
     docs = read(spark, sf_dir, "documents")
-    model = l.train(docs.where(~l.held_out()))
+    model = l.train(docs.where(l.learnable()))
     return l.identify(docs.select("doc_id", "text"), model).select("doc_id", l.held_out().alias("held_out"), "lang_pred", "score")
 
 
