@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import bisect
-import hashlib
+import uuid
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import bounded_batches, extended
+from tessera.llm.shared import beside, bounded_batches, extended, kept, lean, materialize
 
 #: A-Z to a-z; every other ASCII character that is no letter or digit to a blank.
 _TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 32 for b in range(256))
@@ -22,62 +22,60 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
-def windows(text: str | None, width: int) -> set[bytes]:
+def windows(text: str | None, width: int) -> Iterator[list[bytes]]:
+    """All runs of ``width`` words; fewer words are one window, none are none."""
     w = words(text)
-    return {b" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+    for i in range(max(1, len(w) - width + 1) if w else 0):
+        yield w[i : i + width]
 
 
-_automata: dict[str, object] = {}
+UNSEEN = "\0"  # a word that is in no window
 
 
-def _automaton(name: str, patterns: list[tuple[bytes, list[str]]]):
-    """Built once in each Python worker. Bytes stand as Latin-1 characters."""
-    if name not in _automata:
-        import ahocorasick
+def _letter(i: int) -> str:
+    """The i-th word's character: all but NUL and the surrogates."""
+    return chr(i + 1 if i < 0xD7FF else i + 0x801)
 
-        a = ahocorasick.Automaton()
-        for i, (p, _) in enumerate(patterns):
-            a.add_word(" " + p.decode("latin-1") + " ", i)
-        a.make_automaton()
-        _automata.clear()
-        _automata[name] = a
-    return _automata[name]
+
+MOST_WORDS = 0x10F7FF
+
+
+def _automaton(patterns: list[tuple[str, tuple[str, ...]]]):
+    import ahocorasick
+
+    a = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for i, (p, _) in enumerate(patterns):
+        a.add_word(p, i)
+    a.make_automaton()
+    return a
 
 
 def _scan(block, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, patterns = block.value
-        automaton = _automaton(name, patterns)
-        lengths = [len(p) for p, _ in patterns]
+        name, letters, patterns = block.value
+        automaton = kept(f"automaton-{name}", lambda: _automaton(patterns)) if patterns else None
         for batch in batches:
             names = batch.schema.names
-            texts, hits, items = (batch.column(c).to_pylist() for c in ("text", "hit_words", "hit_items"))
+            hits, items = (batch.column(c).to_pylist() for c in ("hit_words", "hit_items"))
             n_words = []
-            for k, text in enumerate(texts):
-                w = words(text)
+            for k, text in enumerate(batch.column("text")):  # one text's words are objects at a time
+                w = words(text.as_py())
                 n_words.append(len(w))
-                if not w:
-                    continue
-                flat = (b" " + b" ".join(w) + b" ").decode("latin-1")
-                found = list(automaton.iter(flat)) if patterns else []
+                found = list(automaton.iter("".join(map(letters.get, w, repeat(UNSEEN))))) if patterns and w else []
                 if not found:
                     continue
-                starts, at = [], 1
-                for x in w:
-                    starts.append(at)
-                    at += len(x) + 1
-                more: set[int] = set()
-                named: set[str] = set()
+                edge = np.zeros(len(w) + 1, np.int64)
                 for end, p in found:
-                    first = bisect.bisect_left(starts, end - lengths[p])
-                    more.update(range(first, bisect.bisect_left(starts, end)))
-                    named.update(patterns[p][1])
-                hits[k] = sorted(more.union(hits[k] or ()))
-                items[k] = sorted(named.union(items[k] or ()))
+                    edge[end + 1 - len(patterns[p][0])] += 1
+                    edge[end + 1] -= 1
+                edge[hits[k] or []] += len(found)  # of an earlier block
+                edge[[x + 1 for x in hits[k] or []]] -= len(found)
+                hits[k] = np.flatnonzero(np.cumsum(edge)).tolist()
+                items[k] = sorted({i for _, p in found for i in patterns[p][1]}.union(items[k] or ()))
             out = {"n_words": pa.array(n_words, pa.int64()), "hit_words": pa.array(hits, pa.list_(pa.int64())), "hit_items": pa.array(items, pa.list_(pa.string()))}
             yield pa.RecordBatch.from_arrays([out.get(n, batch.column(n)) for n in names], names=names)
 
-    return run
+    return lean(run)
 
 
 def _original_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,50 +100,72 @@ def _original_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, kind)], names=[*batch.schema.names, "spans"])
 
 
-def _blocks(benchmark: DataFrame, width: int, block_bytes: int) -> Iterator[list[tuple[bytes, list[str]]]]:
-    """Patterns with the ids of their items, in blocks of at most so many bytes."""
-    rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("id"), F.col("text").cast("string").alias("text"))
-    block: dict[bytes, set[str]] = {}
+def _blocks(benchmark: DataFrame, width: int, nodes: int) -> Iterator[tuple[str, dict[bytes, str], list[tuple[str, tuple[str, ...]]]]]:
+    """(name, each word's character, windows with the ids of their items), in blocks
+    whose automaton has about so many nodes at most."""
+    rows = benchmark.where("text is not null").select(F.col("item_id").cast("string").alias("id"), F.col("text").cast("string").alias("text"))
+    letters: dict[bytes, str] = {}
+    block: dict[str, tuple[str, ...]] = {}
     size = 0
+
+    def done() -> tuple[str, dict[bytes, str], list[tuple[str, tuple[str, ...]]]]:
+        return uuid.uuid4().hex, letters, sorted(block.items())
+
     for r in rows.toLocalIterator():
-        for p in windows(r.text, width):
-            if p not in block:
+        for w in windows(r.text, width):
+            if block and (size >= nodes or len(letters) + len(w) > MOST_WORDS):
+                yield done()
+                letters, block, size = {}, {}, 0
+            p = "".join([letters[x] if x in letters else letters.setdefault(x, _letter(len(letters))) for x in w])
+            ids = block.get(p)
+            if ids is None:
                 size += len(p)
-            block.setdefault(p, set()).add(r.id)
-        if size >= block_bytes:
-            yield [(p, sorted(i)) for p, i in block.items()]
-            block, size = {}, 0
-    if block:
-        yield [(p, sorted(i)) for p, i in block.items()]
+            if r.id is None or r.id in (ids or ()):
+                block.setdefault(p, ())
+            else:
+                block[p] = (*(ids or ()), r.id)
+    yield done()
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = 16 << 20, spans: bool = False) -> DataFrame:
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, nodes: int = 1 << 22, spans: bool = False) -> DataFrame:
     """``docs`` with n_words, hit_words (the positions of hit words), hit_items (ids
     of items with a window in the text, as sorted strings) and, if asked for, spans
     (start, end in code points of the original text).
 
     All windows of ``width`` words of all items (an item with fewer words is one
-    window) form one automaton, which each text passes once, in normal form: words
-    with single blanks between them, so matches begin and end with words. An automaton
-    holds ``block_bytes`` of windows at most; a larger benchmark is cut into blocks
-    and the texts pass one automaton after the other, so what is sent to the executors
-    at once is bounded.
+    window) form one automaton, which each text passes once, in normal form. Its letters
+    are words: each word of the benchmark has a character, all others share one, so a
+    window of ten words takes ten nodes at most, whatever the words' lengths.
+
+    Each worker holds the automaton, about 50 bytes a node. A benchmark with more than
+    ``nodes`` of them (about 420,000 windows of ten words) would not fit, and is cut into
+    several automata; the texts pass one after the other and what was found is written
+    between, so one automaton is held at a time by the driver (two while one is
+    being read), by executors and by workers. The result is the same.
 
     A null or empty text, or one without words, has no words and no hits; items that are
-    null, empty or without an id are in no text; items that share a window are all
+    null or empty are in no text; the words of an item without an id are hits, but it
+    can't be listed; items that share a window are all
     found; an id that is repeated counts once. Repeated documents give a row each.
     Empty tables give no rows, or no hits. Columns of ``docs`` with the names of the
     results are replaced; other columns stay as they are."""
     spark = docs.sparkSession
     bounded_batches(spark)
     new = {"n_words": "long", "hit_words": "array<long>", "hit_items": "array<string>"}
-    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in {*new, "spans", "text"}], F.col("text").cast("string").alias("text"))
-    out = kept.withColumns({c: F.lit(None).cast(t) for c, t in new.items()})
-    for block in [*_blocks(benchmark, width, block_bytes)] or [[]]:
-        name = hashlib.sha256(b"\n".join(p + b"\t" + ",".join(i).encode() for p, i in block)).hexdigest()
-        out = out.mapInArrow(_scan(spark.sparkContext.broadcast((name, block)), width), out.schema)
+    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in {*new, "spans", "text"}], F.col("text").cast("string").alias("text"))
+    out = rows.withColumns({c: F.lit(None).cast(t) for c, t in new.items()})
+    blocks = _blocks(benchmark, width, nodes)
+    block = next(blocks)
+    while block:
+        after = next(blocks, None)
+        held = spark.sparkContext.broadcast(block)
+        out = out.mapInArrow(_scan(held, width), out.schema)
+        if after:
+            out = materialize(out, "scanned")
+            held.unpersist()
+        block = after
     if spans:
-        out = out.mapInArrow(_original_spans, extended(out.schema, "spans array<struct<start:bigint,end:bigint>>"))
+        out = out.mapInArrow(lean(_original_spans), extended(out.schema, "spans array<struct<start:bigint,end:bigint>>"))
     return out
 
 
@@ -158,6 +178,4 @@ def digest(hits: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, **more) -> DataFrame:
     """The rows of ``docs`` without a hit, with the columns of ``docs``."""
-    own = {c: f"_own_{c}" for c in docs.columns if c in ("n_words", "hit_words", "hit_items", "spans")}
-    hits = benchmark_hits(docs.withColumnsRenamed(own), benchmark, width, **more).where("hit_words is null")
-    return hits.select(*[F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns])
+    return beside(docs, ["n_words", "hit_words", "hit_items", "spans"], lambda d: benchmark_hits(d, benchmark, width, **more).where("hit_words is null"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -11,15 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.shared import bounded_batches, materialize
+from tessera.llm.shared import bounded_batches, lean, materialize
 from tessera.llm.shingles import U, mix, set_key, shingle_sets
 
 WIDTH = 1 << 22  # counters in each of the sketch's two rows
 PIECE = 1 << 16
 SIZE_BITS = 20
 BITMAP = 1 << 27  # bits of the filter of candidate groups
-FLUSH = 1 << 21
-PAIRS = 1 << 21
+FLUSH = 1 << 20
+PAIRS = 1 << 20
 TWICE = U((1 << 64) - 1)
 FAN = 32
 FULL = 32  # runs up to so many groups are counted pair by pair
@@ -33,21 +34,18 @@ def prefix_len(n: np.ndarray | int, percent: int):
 
 # -- pass 1: sizes, set keys and the sketch of shingle frequencies ---------------
 
-_first = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.binary()), ("piece", pa.int32()), ("blob", pa.binary())])
-
-
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(2 * WIDTH, np.uint8)
     waiting: list[np.ndarray] = []
-    held = 0
+    names = ["kind", "doc_id", "n", "cls", "piece", "blob"]
+    held, ids = 0, None
 
     def count() -> None:
         s = np.concatenate(waiting)
         for row in (0, 1):
             part = counts[row * WIDTH : (row + 1) * WIDTH]
-            found = np.bincount(((s >> U(32 * row)) & U(WIDTH - 1)).astype(np.int64), minlength=WIDTH)
-            np.minimum(found + part, 255, out=found)
-            part[:] = found
+            at, found = np.unique((s >> U(32 * row)).astype(np.uint32) & np.uint32(WIDTH - 1), return_counts=True)
+            part[at] = np.minimum(found + part[at], 255)
         waiting.clear()
 
     for batch in batches:
@@ -62,13 +60,15 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 count()
                 held = 0
         k = len(n)
-        yield pa.RecordBatch.from_arrays([pa.array([0] * k, pa.int32()), batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=_first)
+        ids = batch.column("doc_id")
+        yield pa.RecordBatch.from_arrays([pa.array([0] * k, pa.int32()), ids, pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
     if waiting:
         count()
     pieces = [(i, counts[i * PIECE : (i + 1) * PIECE]) for i in range(2 * WIDTH // PIECE)]
     pieces = [(i, zlib.compress(c.tobytes(), 1)) for i, c in pieces if c.any()]
     k = len(pieces)
-    yield pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array([p for p, _ in pieces], pa.int32()), pa.array([b for _, b in pieces], pa.binary())], schema=_first)
+    if k:
+        yield pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int32()), pa.nulls(k, ids.type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array([p for p, _ in pieces], pa.int32()), pa.array([b for _, b in pieces], pa.binary())], names=names)
 
 
 def _add_pieces(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -100,11 +100,16 @@ def _ordered_prefix(s: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarr
     return s[np.argsort(level, kind="stable")[: prefix_len(len(s), percent)]]
 
 
+def _group_key(prefix: np.ndarray, n: int) -> int:
+    """64 bits for the documents with this prefix and size."""
+    return int(mix(mix(prefix).sum(dtype=U, keepdims=True) + U(n))[0])
+
+
 def _group_id(prefix: np.ndarray, n: int) -> int:
     """One id for the documents with this prefix and size: 44 bits of hash, 20 of
-    size. Two groups that share an id by chance are only verified together."""
-    h = int(mix(mix(prefix).sum(dtype=U, keepdims=True) + U(n))[0])
-    return (h >> SIZE_BITS << SIZE_BITS) | min(n, int(DONE))
+    size. Groups that share an id by chance, told apart by their keys, all post their
+    prefixes under it, and are verified as members of one group."""
+    return (_group_key(prefix, n) >> SIZE_BITS << SIZE_BITS) | min(n, int(DONE))
 
 
 # -- pass 2: shingle -> groups, runs and first candidates ------------------------
@@ -139,15 +144,17 @@ def _postings(levels, buckets: int, percent: int):
             for _, s in shingle_sets(batch.column("text")):
                 if not len(s) or (key := set_key(s)) in seen:
                     continue
-                if len(seen) < 1 << 18:
+                if len(seen) < 1 << 17:
                     seen.add(key)
                 prefix = _ordered_prefix(s, table, percent)
                 gid = _group_id(prefix, len(s))
                 members.append((gid, int(np.frombuffer(key, U)[0])))
-                if gid in done:
+                held += 16
+                whole = _group_key(prefix, len(s))
+                if whole in done:
                     continue
-                if len(done) < 1 << 18:
-                    done.add(gid)
+                if len(done) < 1 << 17:
+                    done.add(whole)
                 low, times = np.unique(prefix & U(0xFFFFFFFF), return_counts=True)
                 if len(low) < len(prefix):  # shingles that may pass for one in a bucket
                     members += [(gid, int(TWICE))] * int((times - 1).sum())
@@ -235,12 +242,13 @@ def _runs(percent: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         """Of a bucket: kind 0, pairs of groups with the number of shingles they share
         in runs of FULL groups at most, and with 0 the tree over longer runs; kind 1,
-        the longer runs, and groups of several sets; kind 2, each group's number of
+        the longer runs (b is 1), and groups of several sets (b is 0); kind 2, each group's number of
         shingles in longer runs."""
         blobs = lambda name, kind: np.frombuffer(b"".join(x.as_py() for x in table.column(name)), kind)
         pairs, shared = np.empty((0, 2), U), np.empty(0, np.int64)
         long, times = np.empty(0, U), np.empty(0, np.int64)
         runs: dict[int, bytes] = {}
+        lengthy = int(key[0].as_py() >= 0)
 
         def keep(ids: np.ndarray) -> None:
             runs[int(mix(mix(ids).sum(dtype=U, keepdims=True))[0].astype(np.int64))] = ids.tobytes()
@@ -273,7 +281,7 @@ def _runs(percent: int):
         columns = [
             np.repeat(np.arange(3, dtype=np.int32), [len(pairs), len(parts), len(long)]),
             np.concatenate([pairs[:, 0].astype(np.int64), np.array([k for k, _ in parts], np.int64), long.astype(np.int64)]),
-            np.concatenate([pairs[:, 1].astype(np.int64), np.zeros(len(parts), np.int64), times]),
+            np.concatenate([pairs[:, 1].astype(np.int64), np.full(len(parts), lengthy, np.int64), times]),
             np.concatenate([shared, np.zeros(len(parts) + len(long), np.int64)]),
             pa.array([*[None] * len(pairs), *[x for _, x in parts], *[None] * len(long)], pa.binary()),
         ]
@@ -299,9 +307,9 @@ def _enough_shared(found: DataFrame, percent: int) -> DataFrame:
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for run, ids in zip(batch.column("a"), batch.column("ids"), strict=True):
+        for run, lengthy, ids in zip(batch.column("a"), batch.column("b"), batch.column("ids"), strict=True):
             g = np.frombuffer(ids.as_py(), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), run.as_py(), np.int64)), pa.array(g)], names=["run", "gid"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), run.as_py(), np.int64)), pa.array(np.full(len(g), lengthy.as_py() == 1)), pa.array(g)], names=["run", "lengthy", "gid"])
 
 
 # -- pass 3: the sets of candidate groups, verification --------------------------
@@ -321,7 +329,7 @@ def _candidate_sets(levels, bitmap, percent: int):
                 gid = _group_id(_ordered_prefix(s, table, percent), len(s))
                 at = _bit(np.array([gid], U))[0]
                 if bits[at >> 3] >> (at & 7) & 1:
-                    if len(seen) < 1 << 18:
+                    if len(seen) < 1 << 17:
                         seen.add(key)
                     rows.append((np.uint64(gid).astype(np.int64), key, len(s), s.tobytes()))
                     held += len(s)
@@ -378,7 +386,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of set keys whose sets reach the similarity."""
     side = lambda key, out: sets.select(F.col("cls").alias(key), F.col("shingles").alias(out))
     both = pairs.join(side("b", "ys"), "b").join(side("a", "xs"), "a")
-    return both.select("a", "b", "xs", "ys").mapInArrow(_verify(percent), "a binary, b binary")
+    return both.select("a", "b", "xs", "ys").mapInArrow(lean(_verify(percent)), "a binary, b binary")
 
 
 def _compare(percent: int):
@@ -425,20 +433,44 @@ def _compare(percent: int):
     return run
 
 
-def _block_links(members: DataFrame, sets: DataFrame, percent: int, block: int = 64) -> DataFrame:
-    """Links (a, b) enough to join all roots that any link joins, among the members
-    (run, cls, n, root) of runs. A member's home is its longest run; homes are cut
-    into blocks by hash, and every two blocks that meet in a run are compared whole,
-    so rows grow with pairs of blocks and never with pairs of members."""
+def _block_pairs(members: DataFrame, percent: int, block: int = 64) -> tuple[DataFrame, DataFrame]:
+    """(homes, pairs): each set's block, and the pairs of blocks to compare, of the
+    members (run, lengthy, cls, n, root, many) of runs.
+
+    A member's home is its longest run, there the members with its root (or the small
+    roots with one hash) and a size within half the ratio that links allow. Of blocks that
+    meet in a run, pairs are left out whose sizes are too far apart, whose members all have
+    one root, and, where they meet only in longer runs, whose prefixes have too few
+    shingles in such runs (``many``, of the most) to share what their sizes ask for: the
+    like of pages with one boilerplate and texts of their own. So rows grow with pairs of
+    blocks and never with pairs of members."""
     size = members.groupBy("run").agg(F.count("*").alias("size"))
-    homes = members.join(size, "run").groupBy("cls").agg(F.max(F.struct("size", "run")).alias("home"), F.first("root").alias("root"))
-    cut = F.pmod(F.xxhash64("cls"), F.ceil(F.col("home.size") / block))
-    homes = materialize(homes.select("cls", "root", F.xxhash64("home.run", cut).alias("block")), "homes")
-    met = members.select("run", "cls").join(homes.select("cls", "block"), "cls").select("run", "block").distinct()
-    pairs = met.select("run", F.col("block").alias("i")).join(met.select("run", F.col("block").alias("j")), "run").where("i <= j").select("i", "j").distinct()
-    pairs = materialize(pairs, "blocks")
+    homes = members.join(size, "run").groupBy("cls").agg(F.max(F.struct("size", "run")).alias("home"), F.first("root").alias("root"), F.first("n").alias("n"), F.max("many").alias("many"))
+    band = F.floor(F.log(F.col("n")) * (2 / math.log(100 / percent))).cast("long")
+    homes = homes.select("cls", "root", "n", "many", F.col("home.run").alias("run"), band.alias("band"))
+    cell = homes.groupBy("run", "band", "root").agg(F.count("*").alias("own"))
+    small = cell.where(F.col("own") < block).groupBy("run", "band").agg(F.sum("own").alias("rest"))
+    cell = cell.join(small, ["run", "band"], "left")
+    cut = F.when(F.col("own") < block, F.pmod(F.xxhash64("root"), F.ceil(F.col("rest") / block))).otherwise(F.xxhash64("root", F.pmod(F.xxhash64("cls"), F.ceil(F.col("own") / block))))
+    homes = homes.join(cell, ["run", "band", "root"]).select("cls", "root", "n", "many", "band", F.xxhash64("run", "band", F.col("own") < block, cut).alias("block"))
+    homes = materialize(homes, "homes")
+    about = homes.groupBy("block").agg(F.min("band").alias("band"), F.min("root").alias("first"), F.max("root").alias("last"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("many").alias("many"))
+    met = members.select("run", "lengthy", "cls").join(homes.select("cls", "block"), "cls").groupBy("run", "block").agg(F.min("lengthy").alias("lengthy")).join(about, "block")
+    x, y = (met.select("run", F.struct(*met.columns).alias(c)) for c in "xy")
+    i, j = F.col("x"), F.col("y")
+    alone = (i["first"] == i["last"]) & (j["first"] == j["last"]) & (i["first"] == j["first"])
+    need = (i["lo"] + j["lo"]) * (percent / (100 + percent)) - F.greatest(i["hi"], j["hi"]) * (percent / 100) - 1e-6
+    near = (i["block"] <= j["block"]) & (F.abs(i["band"] - j["band"]) <= 2) & ~alone & (~(i["lengthy"] & j["lengthy"]) | (F.least(i["many"], j["many"]) >= need))
+    pairs = x.join(y, "run").where(near).select(i["block"].alias("i"), j["block"].alias("j")).distinct()
+    return homes, materialize(pairs, "blocks")
+
+
+def _block_links(members: DataFrame, sets: DataFrame, percent: int, block: int = 64) -> DataFrame:
+    """Links (a, b) enough to join all roots that any link joins, among the members of
+    runs: the pairs of _block_pairs() are compared whole."""
+    homes, pairs = _block_pairs(members, percent, block)
     sent = pairs.withColumn("block", F.col("i")).union(pairs.where("i <> j").withColumn("block", F.col("j")))
-    sent = sent.join(homes, "block").join(sets.select("cls", "shingles"), "cls")
+    sent = sent.join(homes.select("cls", "root", "block"), "block").join(sets.select("cls", "shingles"), "cls")
     return sent.select("i", "j", "block", "cls", "root", "shingles").groupBy("i", "j").applyInArrow(_compare(percent), "a binary, b binary")
 
 
@@ -467,23 +499,40 @@ def jaccard_components(docs: DataFrame, percent: int = 75, salts: int = 32) -> D
     a text of one to four words has one shingle. Repeated rows give a row each, with
     the least doc_id among them; a null doc_id never becomes a component's id unless
     all of it are null. An empty table gives no rows. Other columns are not read."""
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _components(kept, percent, salts)
+
+
+def row_components(docs: DataFrame, percent: int = 75, salts: int = 32) -> DataFrame:
+    """(row, component) for every row of ``docs`` (doc_id, text) that was read from files:
+    row is a struct that names it, (null id or not, doc_id, hash of its file's name, place in that file), and component
+    the least row that links reach. Repeated ids, null ids and repeated rows are rows each."""
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+    found = _components(docs.select(row.alias("doc_id"), F.col("text").cast("string").alias("text")), percent, salts)
+    return found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("component"))
+
+
+def _components(docs: DataFrame, percent: int, salts: int) -> DataFrame:
+    """jaccard_components() for a doc_id of any type with an order."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    first = materialize(docs.mapInArrow(_describe, "kind int, doc_id long, n long, cls binary, piece int, blob binary"), "sets", "kind")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    first = materialize(docs.mapInArrow(lean(_describe), f"kind int, doc_id {kind}, n long, cls binary, piece int, blob binary"), "sets", "kind")
     own = first.where("kind = 0").select("doc_id", "n", "cls")
     levels = spark.sparkContext.broadcast(_levels(first.where("kind = 1")))
     total = own.agg(F.sum("n")).first()[0] or 0
     tokens = total * (100 - percent) // 100
     buckets = int(max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), tokens // (1 << 20), 64))
-    packed = docs.select("text").mapInArrow(_postings(levels, buckets, percent), "bucket int, tokens binary, groups binary")
+    packed = docs.select("text").mapInArrow(lean(_postings(levels, buckets, percent)), "bucket int, tokens binary, groups binary")
     found = materialize(packed.groupBy("bucket").applyInArrow(_runs(percent), "kind int, a long, b long, shared long, ids binary"), "runs", "kind")
-    runs = materialize(found.where("kind = 1").select("a", "ids").dropDuplicates(["a", "ids"]).mapInArrow(_unpack, "run long, gid long"), "members")
+    runs = materialize(found.where("kind = 1").groupBy("a", "ids").agg(F.min("b").alias("b")).mapInArrow(_unpack, "run long, lengthy boolean, gid long"), "members")
     near = materialize(_enough_shared(found, percent), "near")
     gids = near.select(F.explode(F.array("a", "b")).alias("gid")).union(runs.select("gid")).distinct()
     bitmap = spark.sparkContext.broadcast(_bitmap(gids))
-    sets = docs.select("text").mapInArrow(_candidate_sets(levels, bitmap, percent), "gid long, cls binary, n long, shingles binary")
+    sets = docs.select("text").mapInArrow(lean(_candidate_sets(levels, bitmap, percent)), "gid long, cls binary, n long, shingles binary")
     sets = materialize(sets.dropDuplicates(["cls"]).join(gids, "gid", "left_semi"), "shingles")
+    levels.unpersist()
+    bitmap.unpersist()
     members = sets.select("gid", "cls", "n")
 
     rep = members.groupBy("gid").agg(F.min("cls").alias("rep"), F.count("*").alias("k"))
@@ -496,7 +545,9 @@ def jaccard_components(docs: DataFrame, percent: int = 75, salts: int = 32) -> D
     roots = components(links, salts)
     at = members.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select("gid", "cls", "n", F.coalesce("root", "cls").alias("root"))
     open_pairs = near.join(rep.where("k > 1").select(F.col("gid").alias("a")), "a", "left_semi").union(near.join(rep.where("k > 1").select(F.col("gid").alias("b")), "b", "left_semi")).distinct()
-    as_runs = open_pairs.select(F.xxhash64("a", "b").alias("run"), F.explode(F.array("a", "b")).alias("gid"))
+    as_runs = open_pairs.select(F.xxhash64("a", "b").alias("run"), F.lit(False).alias("lengthy"), F.explode(F.array("a", "b")).alias("gid"))
+    many = found.where("kind = 2").groupBy(F.col("a").alias("gid")).agg(F.sum("b").alias("many"))
+    at = at.join(many, "gid", "left").withColumn("many", F.coalesce("many", F.lit(0)))
     placed = materialize(runs.union(as_runs).join(at, "gid"), "placed")
     several = placed.groupBy("run", "root").agg(F.lit(1).alias("one")).groupBy("run").agg(F.count("*").alias("k")).where("k > 1").select("run")
     left = materialize(placed.join(several, "run", "left_semi"), "open")

@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.shared import beside
+
 KINDS = ["assign", "access", "hex", "random"]
 ASSIGN = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # as the whole run AKIA[A-Z0-9]+, kept from 20 characters on
@@ -207,9 +209,9 @@ def digest(scanned: DataFrame) -> DataFrame:
     return scanned.select("doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-def redact(scanned: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """scan()'s rows, each span of the text replaced by ``mark``; spans that meet are
-    replaced as one. Texts without spans are unchanged."""
+def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
+    """``docs`` (text), with each span of scan() replaced by ``mark``; spans that meet are
+    replaced as one. Texts without spans and all other columns are unchanged."""
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def add(done: Column, s: Column) -> Column:
@@ -218,4 +220,4 @@ def redact(scanned: DataFrame, mark: str = "[secret]") -> DataFrame:
         return F.struct(F.greatest(done["at"], s["end"]).alias("at"), F.when(s["start"] < done["at"], done["out"]).otherwise(fresh).alias("out"))
 
     text = F.aggregate("spans", start, add, lambda d: F.concat(d["out"], F.substring(F.col("text"), d["at"] + 1, F.length("text"))))
-    return scanned.withColumn("text", F.when(F.size("spans") > 0, text).otherwise(F.col("text"))).drop("spans")
+    return beside(docs, ["spans", "_scan"], lambda d: scan(d).withColumn("text", F.when(F.size("spans") > 0, text).otherwise(F.col("text"))))

@@ -9,7 +9,7 @@ import pyarrow as pa
 
 U = np.uint64
 _PRIME = 0x9E3779B97F4A7C15 | 1
-_SLICE = 1 << 20
+_SLICE = 1 << 18
 _MASK = (1 << 64) - 1
 
 
@@ -32,7 +32,7 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
             a = np.full(n, base, U)
             a[0] = 1
             _powers[name] = np.cumprod(a)
-        if n > 8 * _SLICE:  # one very long text: don't hold on to the tables
+        if n > 16 * _SLICE:  # one very long text: don't hold on to the tables
             up, down = _powers["up"], _powers["down"]
             _powers.clear()
             return up, down
@@ -46,7 +46,7 @@ _FOLD[0x41:0x5B] += 0x20
 
 
 def text_slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, offsets) of slices of about 1 MB; a null is an empty text."""
+    """(first row, bytes, offsets) of slices of about 256 KB; a null is an empty text."""
     a = column.cast(pa.large_string()).fill_null("")
     if isinstance(a, pa.ChunkedArray):
         a = a.combine_chunks()

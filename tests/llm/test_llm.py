@@ -98,12 +98,16 @@ def test_top_k_edges(spark):
 def test_decontamination_in_blocks_and_spans(spark, docs):
     bench = spark.createDataFrame([(1, "brown fox jumps over the lazy dog and runs away"), (2, "Two THREE"), (3, None), (4, ""), (None, "one two"), (20, "two three")], "item_id long, text string")
     one = {str(r.doc_id): (r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in decontaminate.digest(decontaminate.benchmark_hits(docs, bench)).collect()}
-    many = decontaminate.digest(decontaminate.benchmark_hits(docs, bench, block_bytes=1))
+    many = decontaminate.digest(decontaminate.benchmark_hits(docs, bench, nodes=1))
     assert one == {str(r.doc_id): (r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in many.collect()}
-    assert one["1"][:3] == (18, 10, 1) and one["4"] == (3, 2, 2, hashlib.sha256(b"2,20").hexdigest()) and one["7"][:3] == (0, 0, 0)
+    assert one["1"][:3] == (18, 10, 1) and one["4"] == (3, 3, 2, hashlib.sha256(b"2,20").hexdigest()) and one["7"][:3] == (0, 0, 0)
     spans = {r.doc_id: r.spans for r in decontaminate.benchmark_hits(docs, bench, spans=True).where("doc_id in (4, 5)").collect()}
-    assert [tuple(s) for s in spans[5]] == [(4, 13)]
+    assert [tuple(s) for s in spans[5]] == [(0, 13)]
     assert decontaminate.benchmark_hits(docs.limit(0), bench).count() == 0
+    no_id = {r.doc_id: (list(r.hit_words or ()), r.hit_items) for r in decontaminate.benchmark_hits(docs, bench.where("item_id is null")).where("doc_id in (1, 4)").collect()}
+    assert no_id == {1: ([], None), 4: ([0, 1], [])}
+    letters = [decontaminate._letter(i) for i in (0, 0xD7FE, 0xD7FF, decontaminate.MOST_WORDS - 1)]
+    assert list(map(ord, letters)) == [1, 0xD7FF, 0xE000, 0x10FFFF]
     assert decontaminate.decontaminate(docs, bench.limit(0)).count() == len(TEXTS)
 
 
@@ -123,7 +127,7 @@ def test_secret_patterns_by_brute_force(spark, docs):
     got = {(r.doc_id, r.base_sha256) for r in secrets.digest(secrets.scan(all_docs)).collect()}
     want = {(r.doc_id, hashlib.sha256(base(r.text or "").encode()).hexdigest()) for r in all_docs.collect()}
     assert got == want
-    clean = {r.doc_id: r.text for r in secrets.redact(secrets.scan(all_docs)).collect()}
+    clean = {r.doc_id: r.text for r in secrets.redact(all_docs).collect()}
     assert KEY not in clean[9] and "hunter22" not in clean[9] and clean[9].endswith("é") and clean[4] == "one two three" and clean[7] is None
     assert secrets.scan(docs.limit(0)).count() == 0
 
