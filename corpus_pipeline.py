@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, jaccard_join, language_id, secrets, sentencepiece_codec
-from tessera.llm.shared import materialize, read
+from tessera.llm.shared import beside, from_files, materialize, read
 
 #: Fixed value: mean log-likelihood a letter. The first 400 words of each document of sf0.01
 #: have -2.4 at least, five tried strings (random letters, base64, scripts not learned)
@@ -20,19 +20,24 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents without a letter go, and those less likely than LEAST_LIKELIHOOD in every
     learned language. ``lang`` is what the model says. Learned from the labelled rows
     outside the held-out fold; if there is none, every document stays as it is."""
-    model = language_id.train(docs.where(~language_id.held_out()))
+    model = language_id.train(docs.where(language_id.learnable()))
     if not model[0]:
         return docs
-    found = language_id.identify(docs, model).where((F.col("lang_pred") != "und") & (F.col("likelihood") >= LEAST_LIKELIHOOD))
-    return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    kept = (F.col("lang_pred") != "und") & (F.col("likelihood") >= LEAST_LIKELIHOOD)
+    return beside(docs, ["lang_pred", "score", "likelihood"], lambda d: language_id.identify(d, model).where(kept).withColumn("lang", F.col("lang_pred")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that links join, the one with the least id stays. A
-    document without an id has no group and stays."""
-    found = jaccard_join.jaccard_components(docs)
-    gone = materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of documents that links join, one row stays: the first one of the
+    least id (an id before none). Rows are told apart by their place in the files, so
+    repeated ids and ids that are null are rows of their own. Rows without words have no
+    group and stay."""
+    if not from_files(docs):
+        docs = materialize(docs, "documents")
+    found = jaccard_join.row_components(docs.select("doc_id", "text"))
+    gone = materialize(found.where("row <> component").select(F.col("row.file").alias("_file"), F.col("row.place").alias("_place")), "copies")
+    placed = docs.withColumns({"_file": F.xxhash64("_metadata.file_path"), "_place": F.col("_metadata.row_index")})
+    return placed.join(gone, ["_file", "_place"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +48,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; every document stays, its n_chars set anew."""
-    clean = secrets.redact(secrets.scan(docs))
-    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
