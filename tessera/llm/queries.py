@@ -38,31 +38,28 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents are inserted with an estimate, a quarter of their characters; then
-    every one is revised to its counted words; then those without words are deleted. The
-    second batch is sent twice, as after a lost acknowledgement."""
+    """All documents are inserted with their tokens in one vocabulary and revised to
+    another, whose batch is sent twice, as after a lost acknowledgement; those that labels
+    mark as toxic are deleted; a compaction follows. Texts are read once, for both counts."""
     import uuid
 
     from tessera.llm import token_rollup as t
+    from tessera.llm.shared import materialize
 
-    docs = read(spark, sf_dir, "documents")
+    old, new = t.TOKENIZERS
+    counted = materialize(t.count_tokens(read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")), "counted")
+    before, after = (counted.where(F.col("tokenizer") == v) for v in (old, new))
+    toxic = read(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
     rollup = t.open_rollup(spark, f"token-rollup-{uuid.uuid4().hex}")
-    estimate = t.inserts(docs.select("source", "lang", "n_chars", F.lit("").alias("text")), "words-1", lambda _: F.floor(F.coalesce("n_chars", F.lit(0)) / 4).cast("long"))
-    counted = t.inserts(docs, "words-1")
-    rollup.commit("1-insert", estimate)
-    revised = t.revisions(estimate, counted)
+    rollup.commit("1-insert", t.inserts(before))
+    revised = t.revisions(t.inserts(before), t.inserts(after))
     rollup.commit("2-revise", revised)
     rollup.commit("2-revise", revised)
-    rollup.commit("3-delete", t.deletes(counted.where("n_tokens = 0")))
+    rollup.commit("3-delete", t.deletes(t.inserts(after.join(toxic, "doc_id", "left_semi"))))
+    rollup.compact()
     return rollup.totals()
 
 
-OP3_SQL = """
-SELECT source, lang, 'words-1' AS tokenizer, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens
-FROM (SELECT source, lang, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n FROM documents) WHERE n > 0 GROUP BY 1, 2
-"""
-
-
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.decontaminate import benchmark_hits, digest
 
@@ -158,7 +155,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 SQL: dict[str, str] = {
     "op1_exact_top_k": OP1_SQL,
-    "op3_token_counts": OP3_SQL,
     "op4_benchmark_decontamination": OP4_SQL,
     "op5_ngram_jaccard_join": OP5_SQL,
     "op9_url_filters": OP9_SQL,

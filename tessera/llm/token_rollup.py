@@ -2,53 +2,75 @@
 
 from __future__ import annotations
 
+import base64
 import re
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import shared_dir
+from tessera.llm.shared import bounded_batches, extended, kept, lean, shared_dir
 
 KEYS = ["source", "lang", "tokenizer"]
 TOTALS = ["n_docs", "n_tokens"]
 SCHEMA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
 
+#: Fixed value: how byte-pair vocabularies of this family cut a text before they merge.
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+#: Tokenizer versions: rank files (base64 token, rank); the version is part of every rollup key.
+TOKENIZERS = {"byte-bpe-50k": "/opt/tokenizers/byte_bpe_50k.tiktoken", "byte-bpe-multi-50k": "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"}
+
 
 def count_words(text: Column) -> Column:
     """Version words-1: maximal runs of other than ASCII white space."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def count_bpe(path: str, pattern: str) -> Callable[[Column], Column]:
-    """A counter for a byte-pair vocabulary in the rank format (base64 token, rank)."""
-    with open(path, "rb") as f:
-        ranks = f.read()
-
-    @F.pandas_udf("long")
-    def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import base64
+def _encoding(ranks: bytes):
+    import tiktoken
 
-        import tiktoken
+    table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+    return tiktoken.Encoding("counted", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
 
-        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
-        encoding = tiktoken.Encoding("counted", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-        for s in texts:
-            yield s.map(lambda t: len(encoding.encode_ordinary(t or ""))).astype("int64")
 
-    return count
+def count_tokens(docs: DataFrame, tokenizers: dict[str, str] | None = None) -> DataFrame:
+    """``docs`` without text: for every row and every version (name to rank file, which the
+    driver reads) a row with tokenizer and n_tokens, of the whole text. A null or empty text
+    has no tokens; columns of ``docs`` with those names are replaced. The ranks, under
+    a MB a version, are broadcast; each worker builds them once."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    ranks = {}
+    for name, path in (TOKENIZERS if tokenizers is None else tokenizers).items():
+        with open(path, "rb") as f:
+            ranks[name] = f.read()
+    held = spark.sparkContext.broadcast((uuid.uuid4().hex, ranks))
+    own = [c for c in docs.columns if c not in ("text", "tokenizer", "n_tokens")]
+    rows = docs.select(*[F.col(f"`{c}`") for c in own], F.col("text").cast("string").alias("text"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, all_ranks = held.value
+        encodings = kept(f"ranks-{key}", lambda: {n: _encoding(r) for n, r in all_ranks.items()})
+        for batch in batches:
+            counts: dict[str, list[int]] = {n: [] for n in encodings}
+            for t in batch.column("text"):
+                text = (t.as_py() or "").encode("utf-8", "replace").decode()
+                for n, e in encodings.items():
+                    counts[n].append(len(e.encode_ordinary(text)))
+            for n, c in counts.items():
+                yield pa.RecordBatch.from_arrays([*[batch.column(x) for x in own], pa.array([n] * len(c), pa.string()), pa.array(c, pa.int64())], names=[*own, "tokenizer", "n_tokens"])
 
-#: Counters by tokenizer version; the version is part of every rollup key.
-TOKENIZERS: dict[str, Callable[[Column], Column]] = {"words-1": count_words}
+    return rows.mapInArrow(lean(run), extended(rows.drop("text").schema, "tokenizer string, n_tokens long"))
 
 
-def inserts(docs: DataFrame, tokenizer: str, counter: Callable[[Column], Column] | None = None) -> DataFrame:
-    """Signed changes that add every row of ``docs`` (source, lang, text). Nulls in
-    source or lang are keys of their own; a null text has no tokens."""
-    count = (counter or TOKENIZERS[tokenizer])(F.col("text"))
-    return docs.select(F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.lit(tokenizer).alias("tokenizer"), F.lit(1).cast("long").alias("n_docs"), count.alias("n_tokens"))
+def inserts(counted: DataFrame) -> DataFrame:
+    """Signed changes that add every row of ``counted`` (source, lang, tokenizer,
+    n_tokens). Nulls in source or lang are keys of their own, a null count is 0, repeated
+    rows count each; other columns are not read."""
+    return counted.select(*[F.col(c).cast("string").alias(c) for c in KEYS], F.lit(1).cast("long").alias("n_docs"), F.coalesce(F.col("n_tokens").cast("long"), F.lit(0)).alias("n_tokens"))
 
 
 def deletes(added: DataFrame) -> DataFrame:
@@ -68,8 +90,10 @@ class TokenRollup:
     source with a third of all rows is a few rows) and publishes them under the batch's
     id with one rename. A batch whose id is there already, whether from a
     retry after lost executors or from a second writer, changes nothing. totals() sums the
-    batches; compact() folds them into a snapshot that names them, so a
-    replay stays without effect. Texts are never read again for an update.
+    batches; compact() folds those it has listed into a snapshot that names them, so a
+    replay stays without effect and a batch that is committed meanwhile is counted once.
+    A compaction drops the folders that the one before it folded, so readers that
+    opened totals() since then still find theirs. Texts are never read again for an update.
 
     Keys whose documents are all gone are not listed. An empty batch is committed and
     changes nothing."""
@@ -82,51 +106,68 @@ class TokenRollup:
     def _exists(self, name: str) -> bool:
         return self._fs.exists(self._path(f"{self.path}/{name}"))
 
-    def _snapshots(self) -> list[str]:
-        return sorted(s for s in self._list("snapshots") if self._exists(f"snapshots/{s}/totals/_SUCCESS"))
-
     def _list(self, name: str) -> list[str]:
-        return [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.path}/{name}"))] if self._exists(name) else []
-
-    def _folded(self) -> set[str]:
-        last = self._snapshots()[-1:]
-        return {r.batch for s in last for r in self.spark.read.schema("batch string").parquet(f"{self.path}/snapshots/{s}/batches").collect()}
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.path}/{name}"))) if self._exists(name) else []
+
+    def _names(self, snapshot: str | None) -> DataFrame:
+        """The ids of the batches that a snapshot holds."""
+        if snapshot is None:
+            return self.spark.createDataFrame([], "batch string")
+        return self.spark.read.schema("batch string").parquet(f"{self.path}/snapshots/{snapshot}/batches")
+
+    def _state(self) -> tuple[str | None, list[str], list[str]]:
+        """The last snapshot, and the batches with a folder that it lacks and holds. No
+        more ids are gathered than there are folders."""
+        listed = self._list("batches")  # before the snapshot: none is missed
+        last = (self._list("snapshots") or [None])[-1]
+        folded = {r.batch for r in self._names(last).where(F.col("batch").isin(listed)).collect()} if last and listed else set()
+        return last, [b for b in listed if b not in folded], sorted(folded)
+
+    def _publish(self, trial: str, target: str) -> bool:
+        """Rename a written folder; False, and the folder gone, if the target is there."""
+        self._fs.mkdirs(self._path(f"{self.path}/{target}").getParent())
+        there = self._path(f"{self.path}/{target}")
+        if self._fs.exists(there) or not self._fs.rename(self._path(trial), there):
+            self._fs.delete(self._path(trial), True)
+            return False
+        nested = f"{target}/{trial.rsplit('/', 1)[1]}"
+        if self._exists(nested):  # a store that moves into a folder which another writer made meanwhile
+            self._fs.delete(self._path(f"{self.path}/{nested}"), True)
+            return False
+        return True
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Whether the batch is new; else nothing is computed or written."""
         if not re.fullmatch(r"[\w.-]+", batch):
             raise ValueError("a batch id has letters, digits, full stops, hyphens and underscores")
-        if self._exists(f"batches/{batch}") or batch in self._folded():
+        last = (self._list("snapshots") or [None])[-1]
+        if self._exists(f"batches/{batch}") or not self._names(last).where(F.col("batch") == batch).isEmpty():
             return False
-        trial = f"{self.path}/trials/{batch}-{self.spark._jvm.java.util.UUID.randomUUID()}"
+        trial = f"{self.path}/trials/{batch}-{uuid.uuid4().hex}"
         changes.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in TOTALS]).write.parquet(trial)
-        self._fs.mkdirs(self._path(f"{self.path}/batches"))
-        target = self._path(f"{self.path}/batches/{batch}")
-        if self._fs.exists(target) or not self._fs.rename(self._path(trial), target):
-            self._fs.delete(self._path(trial), True)
-            return False
-        nested = f"batches/{batch}/{trial.rsplit('/', 1)[1]}"
-        if self._exists(nested):  # a store that moves into a folder which another writer made meanwhile
-            self._fs.delete(self._path(f"{self.path}/{nested}"), True)
-            return False
-        return True
+        return self._publish(trial, f"batches/{batch}")
 
-    def totals(self) -> DataFrame:
-        last, folded = self._snapshots()[-1:], self._folded()
-        paths = [f"{self.path}/snapshots/{s}/totals" for s in last] + [f"{self.path}/batches/{b}" for b in sorted(self._list("batches")) if b not in folded]
+    def _sum(self, snapshot: str | None, batches: list[str]) -> DataFrame:
+        paths = ([f"{self.path}/snapshots/{snapshot}/totals"] if snapshot else []) + [f"{self.path}/batches/{b}" for b in batches]
         rows = self.spark.read.schema(SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMA)
-        return rows.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in TOTALS]).where("n_docs <> 0 or n_tokens <> 0")
-
-    def compact(self) -> None:
-        """Fold all committed batches into a snapshot, then drop their folders."""
-        done = self._folded()
-        batches = sorted(done | set(self._list("batches")))
-        name = f"{len(self._snapshots()) + 1:08d}"
-        out = f"{self.path}/snapshots/{name}"
-        self.spark.createDataFrame([(b,) for b in batches], "batch string").coalesce(1).write.mode("overwrite").parquet(f"{out}/batches")
-        self.totals().coalesce(1).write.mode("overwrite").parquet(f"{out}/totals")
-        for b in batches:
+        return rows.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in TOTALS])
+
+    def totals(self) -> DataFrame:
+        last, fresh, _ = self._state()
+        return self._sum(last, fresh).where("n_docs <> 0 or n_tokens <> 0")
+
+    def compact(self) -> bool:
+        """Fold the committed batches into a snapshot. False if another compaction was
+        first; then nothing changes."""
+        last, fresh, folded = self._state()
+        trial = f"{self.path}/trials/snapshot-{uuid.uuid4().hex}"
+        self._sum(last, fresh).coalesce(1).write.parquet(f"{trial}/totals")
+        self._names(last).union(self.spark.createDataFrame([(b,) for b in fresh], "batch string")).coalesce(1).write.parquet(f"{trial}/batches")
+        if not self._publish(trial, f"snapshots/{int(last or 0) + 1:08d}"):
+            return False
+        for b in folded:
             self._fs.delete(self._path(f"{self.path}/batches/{b}"), True)
+        return True
 
 
 def open_rollup(spark: SparkSession, name: str) -> TokenRollup:

@@ -370,14 +370,19 @@ def test_sentencepiece_unigram_model():
     assert [i.tolist() for i, _, _ in got] == codec.original.encode(docs) and all(p and b for _, p, b in got)
 
 
+def counted(docs):
+    return docs.withColumns({"tokenizer": F.lit("words-1"), "n_tokens": token_rollup.count_words(F.col("text"))})
+
+
 def test_token_rollup_is_idempotent(spark, docs, tmp_path):
     r = token_rollup.TokenRollup(spark, str(tmp_path / "r"))
-    all_in = token_rollup.inserts(docs, "words-1")
+    all_in = token_rollup.inserts(counted(docs))
+    assert r.totals().count() == 0
     assert r.commit("1", all_in) and not r.commit("1", all_in)
     one = sorted(map(str, r.totals().collect()))
     r.compact()
     assert not r.commit("1", all_in) and sorted(map(str, r.totals().collect())) == one
-    some = token_rollup.inserts(docs.where("doc_id = 4"), "words-1")
+    some = token_rollup.inserts(counted(docs.where("doc_id = 4")))
     assert r.commit("2", token_rollup.revisions(some, some.withColumn("n_tokens", F.lit(10).cast("long"))))
     total = lambda: sum(x.n_tokens for x in r.totals().collect())
     before = sum(len((t or "").split()) for _, t in TEXTS)
@@ -388,6 +393,59 @@ def test_token_rollup_is_idempotent(spark, docs, tmp_path):
         r.commit("../x", all_in)
 
 
+def test_token_rollup_counts_a_commit_during_compaction_once(spark, docs, tmp_path):
+    r = token_rollup.TokenRollup(spark, str(tmp_path / "r"))
+    all_in = token_rollup.inserts(counted(docs))
+    r.commit("1", all_in)
+    open_reader = r.totals()
+    own = r._sum
+
+    def meanwhile(last, fresh):
+        out = own(last, fresh)
+        token_rollup.TokenRollup(spark, r.path).commit("2", all_in)
+        return out
+
+    r._sum = meanwhile
+    assert r.compact()
+    r._sum = own
+    words = sum(len((t or "").split()) for _, t in TEXTS)
+    total = lambda: [sum(x) for x in zip(*((x.n_docs, x.n_tokens) for x in r.totals().collect()), strict=True)]
+    assert total() == [2 * len(TEXTS), 2 * words]
+    assert sum(x.n_tokens for x in open_reader.collect()) == words  # its folder is still there
+    assert r.compact() and total() == [2 * len(TEXTS), 2 * words] and r._list("batches") == ["2"]
+    assert r.compact() and not r.commit("1", all_in) and not r.commit("2", all_in) and total() == [2 * len(TEXTS), 2 * words]
+
+
+def encodings():
+    import base64
+
+    import tiktoken
+
+    for name, path in token_rollup.TOKENIZERS.items():
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        yield name, tiktoken.Encoding("own", pat_str=token_rollup.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_token_counts_of_public_vocabularies(spark, docs):
+    got = {(str(r.doc_id), r.tokenizer): r.n_tokens for r in token_rollup.count_tokens(docs.withColumn("tokenizer", F.lit("mine"))).collect()}
+    for name, e in encodings():
+        assert all(got[str(i), name] == len(e.encode_ordinary(t or "")) for i, t in TEXTS)
+    assert token_rollup.count_tokens(docs.limit(0)).count() == 0
+
+
+def test_token_query_by_brute_force(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    toxic = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").where("toxic = 1").collect()}
+    name, e = list(encodings())[1]
+    want: dict = {}
+    for r in rows:
+        if r.doc_id not in toxic:
+            n, k = want.get((r.source, r.lang, name), (0, 0))
+            want[r.source, r.lang, name] = n + 1, k + len(e.encode_ordinary(r.text or ""))
+    assert toxic and {(r.source, r.lang, r.tokenizer): (r.n_docs, r.n_tokens) for r in QUERIES["op3_token_counts"](spark, SF).collect()} == want
+
+
 def test_pipeline_keeps_clean_documents(spark):
     import corpus_pipeline
 
