@@ -15,14 +15,16 @@ from tessera.operators import tile as T
 
 
 def _join_parts(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    parts = sorted(table.select(["src", "layer_idx", "part"]).to_pylist(), key=lambda r: (r["src"], r["layer_idx"]))
+    parts = sorted(table.select(["turn", "src", "layer_idx", "part"]).to_pylist(), key=lambda r: (r["turn"], r["src"], r["layer_idx"]))
     return pa.table({"z": pa.array([key[0].as_py()], pa.int32()), "x": pa.array([key[1].as_py()], pa.int64()), "y": pa.array([key[2].as_py()], pa.int64()), "data": pa.array([b"".join(r["part"] for r in parts)], pa.binary())})
 
 
 def concat_layers(parts: DataFrame) -> DataFrame:
     """(z, x, y, src, layer_idx, name, part) to tiles: of layers with one name the first
-    by src and layer_idx stays, nameless ones go, bytes are copied."""
-    first = Window.partitionBy("z", "x", "y", "name").orderBy("src", "layer_idx")
+    by turn (if there), src and layer_idx stays, nameless ones go, bytes are copied."""
+    if "turn" not in parts.columns:
+        parts = parts.withColumn("turn", F.lit(0))
+    first = Window.partitionBy("z", "x", "y", "name").orderBy("turn", "src", "layer_idx")
     kept = parts.where("name <> ''").withColumn("place", F.row_number().over(first)).where("place = 1")
     return kept.groupBy("z", "x", "y").applyInArrow(_join_parts, S.TILE)
 
@@ -36,34 +38,35 @@ def merge(tiles: DataFrame, validate: bool = False, upgrade: bool = False) -> Da
         bad = D.errors(data, strict=True).where("size(codes) > 0").select("report").first()
         if bad:
             raise ValueError(bad.report)
-    parts = None
-    for src in [r.src for r in data.select("src").distinct().orderBy("src").collect()]:
-        own = D.split_layers(data.where(F.col("src") == src)).withColumn("src", F.lit(src).cast("int"))
-        parts = own if parts is None else parts.unionByName(own)
-    if parts is None:
-        return data.select("z", "x", "y", "data")
+    parts = D.split_layers(data, "src int")
     if upgrade:
         parts = parts.withColumn("part", F.when(F.col("version") == 1, upgraded("part")).otherwise(F.col("part")))
     return concat_layers(parts)
 
 
-def upgraded(part: str):
-    """A layer field decoded as version 1 and encoded as version 2; all rings are kept."""
+WINDOW = 4096  # cells around a tile that an upgrade keeps
+
+
+def upgraded(part: str, tile_size: int = 4096):
+    """A layer field decoded as version 1 and encoded as version 2 at the tile's size. What
+    lies within WINDOW cells of the tile is kept, polygons are joined under the even-odd
+    rule with all their rings."""
+    box = (-WINDOW, -WINDOW, tile_size + WINDOW, tile_size + WINDOW)
 
     @F.pandas_udf("binary")
     def run(s: pd.Series) -> pd.Series:
         def one(b):
             layer = T.Layer(T.layers(b)[0])
-            w = T.LayerWriter(layer.name, layer.extent)
-            for f in layer.read():
+            w = T.LayerWriter(layer.name, tile_size)
+            per_cell = layer.extent / tile_size
+            for f in layer.read(scale=(per_cell, per_cell), bbox=box):
                 attrs = {k: v for k, (_, v) in f["attrs"].items()}
                 if f["raster"] is not None:
                     w.add_raster(f["raster"], f["fid"], attrs)
                 else:
                     kind, parts = f["geom"]
-                    whole = (kind, [[[(int(x), int(y)) for x, y in r] for r in p] for p in parts])
-                    far = 2 * layer.extent + 4096
-                    w.add(T.G.clip(whole, (-far, -far, far, far), 0.0, True, "even_odd", True), f["fid"], attrs)
+                    whole = (kind, [[[(T.G._half_up(x), T.G._half_up(y)) for x, y in r] for r in p] for p in parts])
+                    w.add(T.G.clip(whole, box, process_all_rings=True, fill="even_odd", union=True), f["fid"], attrs)
             return w.bytes()
 
         return s.map(one, na_action="ignore")
@@ -82,24 +85,18 @@ def composite(targets: DataFrame, sources: DataFrame, reencode: bool = False, op
     address are copied unless ``reencode``; others are decoded and encoded for the target
     (overzoom). A layer whose name is there already is skipped."""
     options = options or E.EncodeOptions()
-    own = targets.select("z", "x", "y", "data").withColumn("src", F.lit(-1))
-    zooms = [r.z for r in sources.select("z").distinct().collect()]
-    key = targets.select(F.col("z").alias("tz"), F.col("x").alias("tx"), F.col("y").alias("ty"))
-    met = None
-    for z in sorted(zooms):  # an ancestor's key is the target's, shifted: an equi-join
-        up = key.where(F.col("tz") >= z).withColumns({"x": F.expr(f"shiftright(tx, tz - {z})"), "y": F.expr(f"shiftright(ty, tz - {z})")})
-        part = sources.where(F.col("z") == z).join(up, ["x", "y"])
-        met = part if met is None else met.unionByName(part)
-    parts = D.split_layers(own.where("length(data) > 0")).withColumn("src", F.lit(-1))
-    if met is not None:
-        same = (F.col("z") == F.col("tz")) & F.lit(not reencode)
-        srcs = [r.src for r in sources.select("src").distinct().orderBy("src").collect()]
-        for src in srcs:
-            some = met.where(F.col("src") == src)
-            parts = parts.unionByName(D.split_layers(some.where(same).select("z", "x", "y", "data")).withColumn("src", F.lit(src).cast("int")))
-            others = some.where(~same).select("tz", "tx", "ty", "z", "x", "y", "data")
-            parts = parts.unionByName(_reencoded(others, options).withColumn("src", F.lit(src).cast("int")))
-    return concat_layers(parts)
+    own = D.split_layers(targets.where("length(data) > 0").withColumn("src", F.lit(-1)), "src int")
+    key = targets.select(F.col("z").alias("tz"), F.col("x").alias("tx"), F.col("y").alias("ty")).distinct()
+    # an ancestor's key is the target's, shifted: an equi-join
+    up = key.withColumn("z", F.explode(F.sequence(F.lit(0), F.col("tz")))).withColumns({"x": F.expr("shiftright(tx, tz - z)"), "y": F.expr("shiftright(ty, tz - z)")})
+    met = sources.select(F.col("z").cast("int").alias("z"), "x", "y", "src", "data").where("length(data) > 0").join(up, ["z", "x", "y"])
+    same = (F.col("z") == F.col("tz")) & F.lit(not reencode)
+    copied = D.split_layers(met.where(same), "src int")
+    # copies come before all that is encoded anew, whatever the order of their sources
+    anew = _reencoded(met.where(~same).select("tz", "tx", "ty", "z", "x", "y", "src", "data"), options)
+    columns = ["z", "x", "y", "src", "layer_idx", "name", "version", "part"]
+    parts = [d.select(*[F.col(c) for c in columns], F.lit(i).alias("turn")) for i, d in enumerate((own, copied, anew))]
+    return concat_layers(parts[0].unionByName(parts[1]).unionByName(parts[2]))
 
 
 def _reencoded(rows: DataFrame, o: E.EncodeOptions) -> DataFrame:
@@ -108,7 +105,7 @@ def _reencoded(rows: DataFrame, o: E.EncodeOptions) -> DataFrame:
     def run(batches):
         for batch in batches:
             out = []
-            for tz, tx, ty, z, x, y, data in zip(*(batch.column(c).to_pylist() for c in ("tz", "tx", "ty", "z", "x", "y", "data")), strict=True):
+            for tz, tx, ty, z, x, y, src, data in zip(*(batch.column(c).to_pylist() for c in ("tz", "tx", "ty", "z", "x", "y", "src", "data")), strict=True):
                 res, side = 2 * HALF / 2**z, 2 * HALF / 2**tz
                 left, top = tx * side - HALF, HALF - ty * side
                 pad = o.buffer_size * side / o.tile_size
@@ -124,10 +121,10 @@ def _reencoded(rows: DataFrame, o: E.EncodeOptions) -> DataFrame:
                         geom = {"kind": f["geom"][0], "parts": [[[{"x": a, "y": b} for a, b in r] for r in p] for p in f["geom"][1]]}
                         local = E._to_grid(geom, box, left, top, o.tile_size / side, o)
                         edge = (-o.buffer_size, -o.buffer_size, o.tile_size + o.buffer_size, o.tile_size + o.buffer_size)
-                        w.add(T.G.clip(local, edge, o.area_threshold, o.process_all_rings, o.fill_type), f["fid"], attrs)
+                        w.add(T.G.clip(local, edge, o.area_threshold, o.process_all_rings, o.fill_type, o.multi_polygon_union), f["fid"], attrs)
                     if w.n:
-                        out.append({"z": tz, "x": tx, "y": ty, "layer_idx": index, "name": layer.name, "version": 2, "part": w.bytes()})
-            schema = pa.schema([("z", pa.int32()), ("x", pa.int64()), ("y", pa.int64()), ("layer_idx", pa.int32()), ("name", pa.string()), ("version", pa.int32()), ("part", pa.binary())])
+                        out.append({"z": tz, "x": tx, "y": ty, "src": src, "layer_idx": index, "name": layer.name, "version": 2, "part": w.bytes()})
+            schema = pa.schema([("z", pa.int32()), ("x", pa.int64()), ("y", pa.int64()), ("src", pa.int32()), ("layer_idx", pa.int32()), ("name", pa.string()), ("version", pa.int32()), ("part", pa.binary())])
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    return rows.mapInArrow(run, "z int, x bigint, y bigint, layer_idx int, name string, version int, part binary")
+    return rows.withColumn("src", F.col("src").cast("int")).mapInArrow(run, "z int, x bigint, y bigint, src int, layer_idx int, name string, version int, part binary")

@@ -26,19 +26,21 @@ def value(tag: int, v) -> dict:
     return {"tag": tag, **out, slot: v}
 
 
-def _expand(df: DataFrame, fields: str, rows) -> DataFrame:
-    """Each tile's (z, x, y, data) to rows of ``fields``, Arrow batch by Arrow batch."""
-    schema = StructType.fromDDL(f"z int, x bigint, y bigint, {fields}")
+def _expand(df: DataFrame, fields: str, rows, carry: str = "") -> DataFrame:
+    """Each tile's (z, x, y, data) to rows of ``fields``, Arrow batch by Arrow batch. The
+    columns of ``carry`` are repeated in each of a tile's rows."""
+    schema = StructType.fromDDL("z int, x bigint, y bigint, " + (f"{carry}, " if carry else "") + fields)
     arrow = to_arrow_schema(schema)
+    kept = StructType.fromDDL(f"z int, x bigint, y bigint, {carry}" if carry else "z int, x bigint, y bigint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for z, x, y, data in zip(*(batch.column(c).to_pylist() for c in ("z", "x", "y", "data")), strict=True):
-                out += [{"z": z, "x": x, "y": y} | r for r in rows(z, x, y, data or b"")]
+            for own, data in zip(batch.select(kept.names).to_pylist(), batch.column("data"), strict=True):
+                out += [own | r for r in rows(own["z"], own["x"], own["y"], data.as_py() or b"")]
             yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
-    return df.select(F.col("z").cast("int").alias("z"), F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), "data").mapInArrow(run, schema)
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in kept], "data").mapInArrow(run, schema)
 
 
 def features(tiles: DataFrame, bbox: Box | None = None, names: list[str] | None = None, mode: str = "failfast", map_units: bool = True) -> DataFrame:
@@ -107,15 +109,16 @@ def layer(tiles: DataFrame, name: str | None = None, index: int | None = None) -
     return _expand(tiles, "layer_idx int, layer binary", rows)
 
 
-def split_layers(tiles: DataFrame) -> DataFrame:
-    """z, x, y, layer_idx, name, version and each layer's bytes as a field of a tile."""
+def split_layers(tiles: DataFrame, carry: str = "") -> DataFrame:
+    """z, x, y, the columns of ``carry``, layer_idx, name, version and each layer's bytes
+    as a field of a tile."""
 
     def rows(z, x, y, data):
         for i, raw in enumerate(T.layers(data)):
             name, version = T.layer_name_version(raw)
             yield {"layer_idx": i, "name": name, "version": version, "part": T.W.blob(T.TILE_LAYER, raw)}
 
-    return _expand(tiles, "layer_idx int, name string, version int, part binary", rows)
+    return _expand(tiles, "layer_idx int, name string, version int, part binary", rows, carry)
 
 
 _SUMMARY = "layer string, version int, extent bigint, n_features bigint, n_keys bigint, n_values bigint, n_ints bigint, n_cmds bigint, n_move bigint, n_line bigint, n_close bigint, n_degenerate bigint, n_empty bigint"

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 
+from tessera.operators import overlay
 from tessera.operators.wire import BadTile
 
 Point = tuple[float, float]
@@ -185,7 +186,7 @@ def decode(cmds: list[int], gtype: int, version: int = 2, origin: Point = (0, 0)
 def _decode_rings(cmds, strict, place, scale, bbox) -> tuple[str, list]:
     polygons: list[list[list[Point]]] = []
     ring: list[Point] | None = None
-    first_positive = None
+    first_clockwise = None
     open_exterior = False
     for which, own in _commands(cmds):
         if which == 1:
@@ -200,9 +201,7 @@ def _decode_rings(cmds, strict, place, scale, bbox) -> tuple[str, list]:
             ring += own
         else:
             if ring is None:
-                if strict:
-                    raise BadTile("a ClosePath without ring")
-                continue
+                raise BadTile("a ClosePath without ring")
             points, ring = distinct(ring), None
             if len(points) < 2 or (len(points) == 2 and strict):
                 if strict:
@@ -212,15 +211,15 @@ def _decode_rings(cmds, strict, place, scale, bbox) -> tuple[str, list]:
                 points.append(points[0])
             if len(points) < 4:
                 continue  # its holes go to the polygon before
-            positive = area2(points) > 0
-            if first_positive is None:
-                if not positive and strict:
+            clockwise = area2(points) < 0  # a ring without area is not
+            if first_clockwise is None:
+                if clockwise and strict:
                     raise BadTile("the first ring is clockwise")
-                first_positive = positive
+                first_clockwise = clockwise
             placed = [place(p) for p in points]
-            if (scale[0] * scale[1] < 0) != (not first_positive):
+            if (scale[0] * scale[1] < 0) != first_clockwise:
                 placed.reverse()
-            if positive == first_positive:
+            if clockwise == first_clockwise:
                 open_exterior = _meets(placed, bbox)
                 if open_exterior:
                     polygons.append([placed])
@@ -328,10 +327,12 @@ def clip_ring(ring: list[Point], box: Box) -> list[Point]:
 
 def clip(geom: tuple[str, list], box: Box, area_threshold: float = 0.1, process_all_rings: bool = False, fill: str = "positive", union: bool = False) -> tuple[str, list]:
     """A geometry within a box. Points pass; repeated neighbours of a multipoint go.
-    Exteriors are made counter-clockwise and holes clockwise; an exterior below the area
-    threshold takes its polygon along unless all rings are processed. Rings are cut one
-    by one: rings that cross each other are not joined under the fill rule; under
-    ``negative`` nothing of these directions is filled."""
+
+    Exteriors are made counter-clockwise and holes clockwise and cut to the box; what the
+    fill rule has inside a polygon's rings, or with ``union`` inside those of all polygons,
+    is the result, as polygons whose rings neither cross nor overlap. An exterior below
+    the area threshold, or outside the box, takes its polygon along unless all rings are
+    processed; a hole below it goes."""
     kind, parts = geom
     if kind == "multipoint":
         return kind, [[distinct(p) for p in part] for part in parts]
@@ -341,17 +342,23 @@ def clip(geom: tuple[str, list], box: Box, area_threshold: float = 0.1, process_
     if kind in ("polygon", "multipolygon"):
         if fill not in FILL_RULES:
             raise ValueError(f"no fill rule {fill}")
-        out = []
-        for rings in parts if fill != "negative" else []:
+        polygons: list[list[list[Point]]] = []
+        for rings in parts:
             own: list[list[Point]] = []
             for i, r in enumerate(rings):
-                small = len(distinct(r)) < 4 or abs(area2(r)) / 2 < area_threshold
-                c = [] if small and not (i == 0 and process_all_rings and len(distinct(r)) >= 4) else clip_ring(r, box)
-                if i == 0 and not c:
+                thin = len(distinct(r)) < 4
+                small = thin or abs(area2(r)) / 2 < area_threshold
+                c = [] if thin or (small and not (i == 0 and process_all_rings)) else clip_ring(r if (area2(r) >= 0) == (i == 0) else r[::-1], box)
+                if i == 0 and not c and not process_all_rings:
                     break
                 if c:
-                    own.append(c if (area2(c) > 0) == (i == 0) else c[::-1])
-            if own:
-                out.append(own)
+                    own.append(c)
+            polygons.append(own)
+        out = []
+        for own in [[r for p in polygons for r in p]] if union else polygons:
+            if len(own) == 1 and fill != "negative" and area2(own[0]) > 0 and overlay.is_convex(own[0]):
+                out.append(own)  # nothing to be cut or joined
+            else:
+                out += overlay.union(own, fill)
         return ("multipolygon", out) if out else EMPTY
     return geom

@@ -16,22 +16,22 @@ TILE_LAYER = 3
 LAYER_NAME, LAYER_FEATURE, LAYER_KEY, LAYER_VALUE, LAYER_EXTENT, LAYER_VERSION = 1, 2, 3, 4, 5, 15
 FEATURE_ID, FEATURE_TAGS, FEATURE_TYPE, FEATURE_GEOMETRY, FEATURE_RASTER = 1, 2, 3, 4, 5
 
-#: What a check of a tile can find, in the order of reports.
+#: The codes of what a check of a tile can find, in the format's order.
 ERRORS = {
+    "layer_repeated": "two layers have one name",
     "tile_unknown_field": "the tile has a field of unknown number",
+    "tile_versions": "layers have different versions",
     "layer_no_name": "a layer has no name",
     "layer_names": "a layer has several names",
     "layer_no_extent": "a layer has no extent",
     "layer_extents": "a layer has several extents",
-    "layer_no_version": "a layer has no version",
     "layer_versions": "a layer has several versions",
     "layer_no_features": "a layer has no features",
-    "layer_unknown_field": "a layer has a field of unknown number",
     "layer_version": "a layer's version is not 1 or 2",
-    "layer_repeated": "two layers have one name",
     "layer_mixed": "a layer has raster and vector features",
-    "value_empty": "a value has no member",
+    "layer_unknown_field": "a layer has a field of unknown number",
     "values": "a value has several members",
+    "value_empty": "a value has no member",
     "value_unknown_field": "a value has a field of unknown number",
     "feature_empty": "a feature has neither geometry nor raster",
     "feature_ids": "a feature has several ids",
@@ -257,32 +257,36 @@ class Layer:
 
 
 def _feature_errors(data: bytes, found: set[str], counts: dict[str, int]) -> None:
+    """Adds to ``found`` and ``counts`` as fields are read, so what stands before broken
+    bytes counts. Features count by each type they state and by each raster."""
     n = dict.fromkeys(range(1, 6), 0)
-    gtype = None
+    many = {FEATURE_ID: "feature_ids", FEATURE_TAGS: "feature_tags", FEATURE_GEOMETRY: "feature_geometries", FEATURE_RASTER: "feature_rasters"}
+    kinds = {0: "unknown", 1: "point", 2: "line", 3: "polygon"}
     for number, _, v in W.fields(data):
         if number not in n:
             found.add("feature_unknown_field")
             continue
         n[number] += 1
         if number == FEATURE_TYPE:
-            gtype = v
-    for number, name in ((FEATURE_ID, "feature_ids"), (FEATURE_TAGS, "feature_tags"), (FEATURE_GEOMETRY, "feature_geometries"), (FEATURE_RASTER, "feature_rasters")):
-        if n[number] > 1:
-            found.add(name)
-    if n[FEATURE_RASTER] and n[FEATURE_GEOMETRY]:
-        found.add("feature_both")
+            if v in kinds:
+                counts[kinds[v]] = counts.get(kinds[v], 0) + 1
+            else:
+                found.add("feature_type")
+        elif n[number] > 1:
+            found.add(many[number])
+        if number == FEATURE_RASTER:
+            counts["raster"] = counts.get("raster", 0) + 1
+        if n[FEATURE_RASTER] and n[FEATURE_GEOMETRY]:
+            found.add("feature_both")
     if not n[FEATURE_RASTER] and not n[FEATURE_GEOMETRY]:
         found.add("feature_empty")
-    if n[FEATURE_GEOMETRY] and gtype is None:
+    if n[FEATURE_GEOMETRY] and not n[FEATURE_TYPE]:
         found.add("feature_no_type")
-    if gtype is not None and gtype not in (1, 2, 3):
-        found.add("feature_type")
-    name = "raster" if n[FEATURE_RASTER] else {1: "point", 2: "line", 3: "polygon"}.get(gtype, "unknown")
-    counts[name] = counts.get(name, 0) + 1
 
 
 def layer_errors(data: bytes, strict: bool = False) -> tuple[list[str], dict[str, int]]:
-    """Codes of ERRORS in their order, and counts of features by type."""
+    """Codes of ERRORS in their order, and counts of features by type. ``strict``, as
+    where tiles are merged, asks for version 1 or 2 too."""
     found: set[str] = set()
     counts: dict[str, int] = {}
     n = dict.fromkeys((LAYER_NAME, LAYER_EXTENT, LAYER_VERSION, LAYER_FEATURE), 0)
@@ -294,27 +298,28 @@ def layer_errors(data: bytes, strict: bool = False) -> tuple[list[str], dict[str
                 _feature_errors(v, found, counts)
             elif number == LAYER_VALUE:
                 members = [m for m, _, _ in W.fields(v)]
-                if any(m > S.BOOL for m in members):
+                known = [m for m in members if m <= S.BOOL]
+                if len(known) < len(members):
                     found.add("value_unknown_field")
-                if not members:
+                if not known:
                     found.add("value_empty")
-                elif len(members) > 1:
+                elif len(known) > 1:
                     found.add("values")
-            elif number == LAYER_VERSION and v not in (1, 2):
-                found.add("layer_version")
             elif number not in (LAYER_NAME, LAYER_KEY, LAYER_EXTENT, LAYER_VERSION):
                 found.add("layer_unknown_field")
-        for number, none, many in ((LAYER_NAME, "layer_no_name", "layer_names"), (LAYER_EXTENT, "layer_no_extent", "layer_extents"), (LAYER_VERSION, "layer_no_version", "layer_versions")):
-            if n[number] == 0:
-                found.add(none)
-            elif n[number] > 1:
-                found.add(many)
-        if not n[LAYER_FEATURE]:
-            found.add("layer_no_features")
-        if strict and counts.get("raster") and sum(counts.values()) > counts["raster"]:
-            found.add("layer_mixed")
     except (BadTile, TypeError, AttributeError):
         found.add("bad_bytes")
+    if strict:
+        try:
+            if layer_name_version(data)[1] not in (1, 2):
+                found.add("layer_version")
+        except (BadTile, TypeError, AttributeError):
+            found.add("bad_bytes")
+    for number, none, many in ((LAYER_NAME, "layer_no_name", "layer_names"), (LAYER_EXTENT, "layer_no_extent", "layer_extents"), (LAYER_VERSION, None, "layer_versions"), (LAYER_FEATURE, "layer_no_features", None)):
+        if not n[number] and none:
+            found.add(none)
+        elif n[number] > 1 and many:
+            found.add(many)
     return [e for e in ERRORS if e in found], counts
 
 

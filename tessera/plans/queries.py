@@ -239,6 +239,40 @@ def clip_polygon_box(spark, sf):
     return b.select("p_partkey", area("ring").alias("area2")).where("area2 <> 0")
 
 
+_TWO = _BOXES + """, two AS (SELECT p_partkey, x0, y0, x0 + w AS x1, y0 + h AS y1, x0 + w // 3 AS u0, y0 + h // 2 AS v0, x0 + w // 3 + w AS u1, y0 + h // 2 + h AS v1, w, h FROM b WHERE w > 0 AND h > 0),
+cut AS (SELECT p_partkey, w, h, greatest(least(x1, 4096) - greatest(x0, 0), 0) * greatest(least(y1, 4096) - greatest(y0, 0), 0) AS one,
+greatest(least(u1, 4096) - greatest(u0, 0), 0) * greatest(least(v1, 4096) - greatest(v0, 0), 0) AS other,
+greatest(least(x1, u1, 4096) - greatest(x0, u0, 0), 0) * greatest(least(y1, v1, 4096) - greatest(y0, v0, 0), 0) AS shared FROM two)
+"""
+
+
+@query(_TWO + "SELECT p_partkey, 2 * (one + other - shared) AS joined2, 2 * (one + other - 2 * shared) AS odd2, 2 * (one + other) AS apart2, CAST(2 AS BIGINT) AS n_arms, 24 * (w + 1) * (h + 1) AS arms2 FROM cut")
+def clip_polygon_general(spark, sf):
+    """Two boxes that overlap, cut to the tile: joined, joined under the even-odd rule, and
+    each on its own; and a ring with a notch, cut through its two arms."""
+    from tessera.operators import geometry as G
+
+    def ring(x, y, w, h):
+        return [(x, y), (x + w, y), (x + w, y + h), (x, y + h), (x, y)]
+
+    @F.pandas_udf("joined2 long, odd2 long, apart2 long, n_arms long, arms2 long")
+    def areas(x0: pd.Series, y0: pd.Series, w: pd.Series, h: pd.Series) -> pd.DataFrame:
+        total = lambda g: sum(G.area2(r[:-1]) for p in g[1] for r in p)
+        out = []
+        for x, y, a, b in zip(x0, y0, w, h, strict=True):
+            two = ("multipolygon", [[ring(x, y, a, b)], [ring(x + a // 3, y + b // 2, a, b)]])
+            ways = [G.clip(two, (0, 0, 4096, 4096), union=u, fill=f) for u, f in ((True, "positive"), (True, "even_odd"), (False, "positive"))]
+            a, b = 6 * (a + 1), 6 * (b + 1)
+            notched = [(0, 0), (a, 0), (a, b // 3), (a // 3, b // 3), (a // 3, 2 * b // 3), (a, 2 * b // 3), (a, b), (0, b), (0, 0)]
+            arms = G.clip(("polygon", [notched]), (a // 2, 0, a, b))
+            out.append([*map(total, ways), len(arms[1]), total(arms)])
+        return pd.DataFrame(out, columns=["joined2", "odd2", "apart2", "n_arms", "arms2"], dtype="int64")
+
+    b = boxes(spark, sf).where("box.maxx > box.minx and box.maxy > box.miny")
+    x, y, w, h = F.col("box.minx"), F.col("box.miny"), F.col("box.maxx") - F.col("box.minx"), F.col("box.maxy") - F.col("box.miny")
+    return b.select("p_partkey", areas(x, y, w, h).alias("a")).select("p_partkey", "a.*")
+
+
 @query(_BOXES + "SELECT p_partkey, greatest(x0, 0) AS a, least(x0 + w, 4096) AS b FROM b WHERE y0 BETWEEN 0 AND 4096 AND w > 0 AND least(x0 + w, 4096) > greatest(x0, 0)")
 def clip_line_box(spark, sf):
     from tessera.operators import geometry as G
@@ -294,8 +328,12 @@ def attribute_projection(spark, sf):
     return found.where("not map_contains_key(attrs, 'c_mktsegment')").select("x", "y", F.col("fid").alias("c_custkey"), F.col("attrs")["c_nationkey"]["i"].alias("nation"))
 
 
-@query(_PLACED + "SELECT c_custkey FROM c WHERE c_custkey = 5")
+@query(_TILED + f""", d AS (SELECT c_custkey, (x * 131072 + 32 * round((gx - x * 131072) / 32.0::DOUBLE)) * (2 * {H}::DOUBLE / {GRID}) AS dx, (y * 131072 + 32 * round((gy - y * 131072) / 32.0::DOUBLE)) * (2 * {H}::DOUBLE / {GRID}) AS dy FROM u),
+here AS (SELECT gx * (2 * {H}::DOUBLE / {GRID}) AS ax, gy * (2 * {H}::DOUBLE / {GRID}) AS ay FROM c WHERE c_custkey = 5)
+SELECT DISTINCT c_custkey FROM d, here WHERE abs(dx - ax) <= 20000 AND abs(dy - ay) <= 20000""")
 def features_at_point(spark, sf):
+    """All features within 20 km, each way, of where customer 5 is; places are those of
+    the tile's grid."""
     at = customers(spark, sf).where("c_custkey = 5").select("mx", "my").first()
     found = decode.features_at(customer_tiles(spark, sf), at.mx if at else 0.0, at.my if at else 0.0, 20_000.0) if at else decode.features(customer_tiles(spark, sf).limit(0))
     return found.select(F.col("fid").alias("c_custkey")).distinct()
@@ -346,6 +384,51 @@ def validate_errors(spark, sf):
     return decode.errors(customer_tiles(spark, sf)).select("x", "y", "name", F.array_join("codes", ",").alias("codes"), "point")
 
 
+def _with(extra: list[bytes]):
+    """A tile's only layer with a field behind it, one of ``extra`` by the tile's key."""
+
+    @F.pandas_udf("binary")
+    def run(data: pd.Series, which: pd.Series) -> pd.Series:
+        from tessera.operators import tile as T
+
+        return pd.Series([T.W.blob(T.TILE_LAYER, T.layers(d)[0] + extra[k]) for d, k in zip(data, which, strict=True)])
+
+    return run(F.col("data"), F.pmod(F.col("x") + F.col("y"), F.lit(len(extra))).cast("int"))
+
+
+@query(_TILED + """SELECT x, y, CASE (x + y) % 7 WHEN 1 THEN 'layer_names' WHEN 2 THEN 'layer_unknown_field' WHEN 3 THEN 'layer_versions' WHEN 4 THEN 'feature_both,feature_type'
+WHEN 5 THEN 'value_empty' WHEN 6 THEN 'feature_empty,feature_ids,bad_bytes' ELSE '' END AS codes, count(*) AS point, CAST((x + y) % 7 = 4 AS BIGINT) AS raster FROM u GROUP BY x, y""")
+def validate_damaged(spark, sf):
+    from tessera.operators import wire as W
+
+    extra = [b"", W.blob(1, b"again"), W.uint(9, 1), W.uint(15, 2), W.blob(2, W.uint(3, 9) + W.blob(5, b"r") + W.blob(4, b"\x09\x02\x02")), W.blob(4, b""), W.blob(2, W.uint(1, 1) + W.uint(1, 2)) + b"\x12\x7f"]
+    bad = customer_tiles(spark, sf).withColumn("data", _with(extra))
+    return decode.errors(bad).select("x", "y", F.array_join("codes", ",").alias("codes"), "point", "raster")
+
+
+@query(_TILED + "SELECT x, y, count(*) + 1 AS before, count(*) AS after FROM u GROUP BY 1, 2")
+def clean_empty_features(spark, sf):
+    """A feature without geometry is put into each tile and cleaned away."""
+    from tessera.operators import wire as W
+
+    tiles = customer_tiles(spark, sf).withColumn("data", _with([W.blob(2, W.uint(3, 1))]))
+    before = decode.layer_headers(tiles).select("x", "y", F.col("n_features").alias("before"))
+    after = decode.layer_headers(tiles.withColumn("data", decode.clean(F.col("data")))).select("x", "y", F.col("n_features").alias("after"))
+    return before.join(after, ["x", "y"])
+
+
+@query(_TILED + "SELECT x, y, count(*) FILTER (c_custkey % 2 = 0) AS n FROM u GROUP BY 1, 2 HAVING count(*) FILTER (c_custkey % 2 = 0) > 0")
+def composite_first_wins(spark, sf):
+    """The first source lies a zoom above and would be encoded anew; the second one's copy
+    of the same layer comes before it."""
+    c = customers(spark, sf)
+    rows = c.select(point(F.col("mx"), F.col("my")).alias("geom"), F.col("c_custkey").alias("fid"))
+    above = TileEncoder([LayerSpec("a", rows)]).encode(2).select("z", "x", "y", F.lit(0).alias("src"), "data")
+    same = TileEncoder([LayerSpec("a", rows.where("fid % 2 = 0"))]).encode(3).select("z", "x", "y", F.lit(1).alias("src"), "data")
+    targets = same.select("z", "x", "y", F.lit(None).cast("binary").alias("data"))
+    return decode.layer_headers(combine.composite(targets, above.unionByName(same))).select("x", "y", F.col("n_features").alias("n"))
+
+
 @query(_TILED + "SELECT x, y, 'gzip' AS packed, 'zlib' AS deflated, 'none' AS plain, true AS same FROM u GROUP BY 1, 2")
 def compress_round_trip(spark, sf):
     t = customer_tiles(spark, sf).withColumns({"g": codec.compress(F.col("data")), "d": codec.compress(F.col("data"), gzip=False)})
@@ -364,7 +447,7 @@ def simplify_lines(spark, sf):
     return decode.tile_info(tiles).select("x", "y", "n_features", "n_line")
 
 
-@query()
+@query(_TILED + "SELECT x, y, 'customers' AS layer, 2 AS version, count(*) AS n_features FROM u GROUP BY 1, 2")
 def upgrade_v1(spark, sf):
     """Tiles marked as version 1, brought to version 2."""
     old = customer_tiles(spark, sf).withColumn("data", decode.set_version(F.col("data"), 1))
