@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import bounded_batches, extended, fold
+from tessera.llm.shared import bounded_batches, extended, fold, lean
 from tessera.llm.shingles import _SPACE, U, mix, text_slices, word_hashes
 
 WORDS, ENDS, SHAPES = 2048, 1024, 1024
@@ -99,7 +99,8 @@ def fit(y: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], rank:
 
 def vote(model: dict, x: np.ndarray, neighbours: int = 25, power: float = 4.0, block: int = 256) -> np.ndarray:
     """Each row's score: the neighbours' labels weighted by a power of their cosine,
-    which is computed for all labelled vectors, block by block. One vote for
+    which is computed for all labelled vectors, block by block. Rows with the cosine of
+    the last place share the places left. One vote for
     the mean label is added, so that texts unlike any other get that."""
     y, vectors = model["y"], model["vectors"]
     mean = float(y.mean()) if len(y) else 0.5
@@ -111,15 +112,20 @@ def vote(model: dict, x: np.ndarray, neighbours: int = 25, power: float = 4.0, b
         v = x[i : i + block] @ model["basis"]
         cosine = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)) @ vectors.T
         cosine = np.round(cosine, 5)  # copies of a text score alike in any block
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        w = np.maximum(np.take_along_axis(cosine, near, 1), 0).astype(np.float64) ** power
-        out[i : i + block] = (np.sum(w * y[near], axis=1) + 1e-3 * mean) / (w.sum(axis=1) + 1e-3)
+        last = -np.partition(-cosine, k - 1, axis=1)[:, k - 1 : k]
+        row, near = np.nonzero(cosine >= last)
+        tied = cosine[row, near] == last[row, 0]
+        n_tied = np.bincount(row, tied, len(v))
+        places = np.where(tied, ((k - np.bincount(row, ~tied, len(v))) / n_tied)[row], 1.0)
+        w = places * np.maximum(cosine[row, near], 0).astype(np.float64) ** power
+        out[i : i + block] = (np.bincount(row, w * y[near], len(v)) + 1e-3 * mean) / (np.bincount(row, w, len(v)) + 1e-3)
     return np.round(out, 6)
 
 
 def held_out() -> Column:
-    """True for the rows whose labels are not learned from."""
-    return F.pmod(fold(), F.lit(3)) == 1
+    """True for the rows whose labels are not learned from. A row without an id has no
+    remainder, so it is not held out; it has no label either."""
+    return F.coalesce(F.pmod(fold(), F.lit(3)) == 1, F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", class_docs: int = 1500, **more) -> dict:
@@ -168,4 +174,4 @@ def classify(docs: DataFrame, model: dict) -> DataFrame:
                     scores[first + i : first + j] = vote(m, _weighted(j - i, row[p] - i, term[p], n[p], m["idf"]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names=[*own, "score", "predicted"])
 
-    return kept.mapInArrow(run, extended(kept.schema, "score double, predicted int"))
+    return kept.mapInArrow(lean(run), extended(kept.schema, "score double, predicted int"))

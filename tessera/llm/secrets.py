@@ -29,6 +29,7 @@ ENCODINGS = [
     ("base64_url", UP + LOW + DIGITS + "-_"),
 ]
 BINS = 200
+BLOCK = 128
 
 _span = "array<struct<start:int,end:int,kind:string,text:string>>"
 
@@ -38,27 +39,52 @@ def let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def in_blocks(items: Column) -> Column:
+    """An array cut into arrays of BLOCK items; none of an empty one."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int")), lambda i: F.slice(items, i * BLOCK + 1, F.lit(BLOCK)))
+    return F.when(F.size(items) > 0, blocks).otherwise(F.filter(F.array(items), lambda x: F.size(x) > 0))
+
+
 def _found(text: Column, pattern: str, kind: str, possible: Column) -> Column:
     """Spans of all matches, leftmost and not overlapping, in code points. The pieces
-    between the matches give the places. Texts where no match is ``possible`` are
+    between the matches give the places: first within blocks of matches, then the blocks'
+    own, since arrays are copied as they grow. Texts where no match is ``possible`` are
     passed over."""
     empty = F.array().cast(_span)
+    span = lambda start, end, match: F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), match.alias("text"))
 
     def add(done: Column, pair: Column) -> Column:
         start = done["at"] + F.length(pair["gap"])
         end = start + F.length(pair["match"])
-        span = F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), pair["match"].alias("text"))
-        return F.struct(end.alias("at"), F.concat(done["spans"], F.array(span)).alias("spans"))
+        return F.struct(end.alias("at"), F.concat(done["spans"], F.array(span(start, end, pair["match"]))).alias("spans"))
 
     def placed(matches: Column) -> Column:
         gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches))
         pairs = F.zip_with(matches, gaps, lambda m, g: F.struct(m.alias("match"), g.alias("gap")))
         start = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
-        return F.when(F.size(matches) > 0, F.aggregate(pairs, start, add, lambda d: d["spans"])).otherwise(empty)
+        blocks = let(pairs, lambda own: F.transform(in_blocks(own), lambda block: F.aggregate(block, start, add)))
+
+        def moved(done: Column) -> Column:
+            starts = F.aggregate(done, F.array(F.lit(0)), lambda a, d: F.concat(a, F.array(F.element_at(a, -1) + d["at"])))
+            return let(starts, lambda at: F.flatten(F.transform(done, lambda d, i: F.transform(d["spans"], lambda s: span(s["start"] + F.get(at, i), s["end"] + F.get(at, i), s["text"])))))
+
+        return F.when(F.size(matches) > 0, let(blocks, moved)).otherwise(empty)
 
     return F.when(possible, let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)).otherwise(empty)
 
 
+def _apart(tokens: Column, spans: Column) -> Column:
+    """The tokens that meet no span, block by block: only spans within a block's reach are
+    held against its tokens."""
+
+    def of_block(block: Column) -> Column:
+        first, last = F.element_at(block, 1)["start"], F.element_at(block, -1)["end"]
+        near = let(F.struct(first.alias("a"), last.alias("b")), lambda r: F.filter(spans, lambda s: (s["start"] < r["b"]) & (r["a"] < s["end"])))
+        return let(near, lambda n: F.filter(block, lambda t: ~F.exists(n, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))))
+
+    return let(tokens, lambda own: F.flatten(F.transform(in_blocks(own), of_block)))
+
+
 def base_spans(text: Column) -> dict[str, Column]:
     """Spans of the three patterns. What cannot match is passed over by plain searches,
     which find every text that a pattern could match."""
@@ -144,8 +170,7 @@ def candidates(docs: DataFrame, column: str = "text") -> DataFrame:
 
     def tested(b: Column) -> Column:
         long = _found(text, TOKEN, "random", text.rlike(TOKEN))
-        free = F.filter(long, lambda t: ~F.exists(b, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-        judged = F.transform(free, lambda t: F.struct(t.alias("t"), battery(t["text"]).alias("b")))
+        judged = F.transform(_apart(long, b), lambda t: F.struct(t.alias("t"), battery(t["text"]).alias("b")))
         out = F.transform(judged, lambda x: F.struct(x["t"]["start"].alias("start"), x["t"]["end"].alias("end"), x["t"]["text"].alias("text"), stratum(x["b"]["encoding"], x["b"]["length"]).alias("stratum"), x["b"]["p"].alias("p")))
         return F.struct(b.alias("base"), out.alias("tested"))
 

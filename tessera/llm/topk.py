@@ -22,15 +22,37 @@ def quantized(c: Column) -> Column:
     return F.when(c.isNotNull() & ~F.coalesce(odd, F.lit(True)), F.transform(double, lambda x: F.floor(x * 256.0)))
 
 
-def top_of_blocks(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, block: int = 256) -> Iterator[tuple[int, int, int]]:
+def together(vectors: np.ndarray, block: int) -> np.ndarray:
+    """An order of the rows in which blocks hold rows that are alike: halves are parted
+    across the direction in which their rows differ most, down to one block."""
+    parts, out = [np.arange(len(vectors))], []
+    while parts:
+        own = parts.pop()
+        if len(own) <= block:
+            out.append(own)
+            continue
+        x = vectors[own].astype(np.float64)
+        x -= x.mean(axis=0)
+        d = x[np.argmax(np.abs(x).sum(axis=1))]
+        for _ in range(6):
+            d = x.T @ (x @ (d / max(1e-300, np.abs(d).max())))
+        side = np.argsort(x @ d, kind="stable")
+        half = -(-len(own) // (2 * block)) * block
+        parts += [own[side[half:]], own[side[:half]]]
+    return np.concatenate(out)
+
+
+def top_of_blocks(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, block: int = 64, seen: dict | None = None) -> Iterator[tuple[int, int, int]]:
     """(query id, id, score) of each query's k best of these vectors, its own excluded,
     ties to smaller ids.
 
-    Blocks are ranges of ids. A term is a dimension with a sign, so a block's summed
+    Rows are put in an order in which like ones are together, and blocks are ranges of it.
+    A term is a dimension with a sign, so a block's summed
     term maxima bound a query's score in it. Each query takes blocks in the order of
     that bound, and scores them through the block's forward index (its vectors' rows)
-    until the next bound is below its k-th score."""
-    order = np.argsort(ids, kind="stable")
+    until the next bound is below its k-th score. ``seen`` counts the blocks scored and
+    passed over. Vectors without any likeness give bounds that pass nothing over."""
+    order = together(vectors, block) if vectors.shape[1] else np.arange(len(ids))
     vectors, ids = vectors[order], ids[order]
     starts = np.arange(0, len(ids), block)
     peak = float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * max(1, vectors.shape[1])
@@ -45,10 +67,12 @@ def top_of_blocks(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarra
     placed = [np.empty(0, np.int64)] * len(q)
     kth = np.full(len(q), -float("inf"), kind)
     live = np.arange(len(q))
+    taken = 0
     for step in range(len(starts)):
         live = live[bound[live, turn[live, step]] >= kth[live]]
         if not len(live):
             break
+        taken += len(live)
         chosen = turn[live, step]
         for b in np.unique(chosen):
             these = live[chosen == b]
@@ -59,11 +83,14 @@ def top_of_blocks(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarra
                 if not len(own):
                     continue
                 s, at = np.concatenate([scored[i], row[own]]), np.concatenate([placed[i], own + starts[b]])
-                keep = np.argsort(at, kind="stable")
-                keep = keep[np.argsort(-s[keep], kind="stable")][:k]  # places follow ids
+                keep = np.argsort(ids[at], kind="stable")
+                keep = keep[np.argsort(-s[keep], kind="stable")][:k]
                 scored[i], placed[i] = s[keep], at[keep]
                 if len(keep) == k:
                     kth[i] = scored[i][-1]
+    if seen is not None:
+        seen["scored"] = seen.get("scored", 0) + taken
+        seen["passed"] = seen.get("passed", 0) + len(q) * len(starts) - taken
     for i in range(len(q)):
         for s, at in zip(scored[i], placed[i], strict=True):
             yield int(query_ids[i]), int(ids[at]), int(s)

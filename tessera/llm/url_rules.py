@@ -35,16 +35,16 @@ def interval(rule_host: str) -> tuple[str, str]:
 def _sweep(rules: list[tuple[str, str, str]]):
     """rules: (host, path, verdict). A sorted pass over keys with a stack of the open
     intervals, each within the one below it."""
-    nested: dict[tuple[str, str], list[tuple[str, str, str]]] = {}
+    nested: dict[tuple[str, str], list[tuple[str, str, int, str]]] = {}
     for host, path, verdict in rules:
-        nested.setdefault(interval(host), []).append((path, host + path, verdict))
+        nested.setdefault(interval(host), []).append((path, host + path, len(host), verdict))
     ordered = [(low, high, sorted(own, key=lambda r: -len(r[0]))) for (low, high), own in sorted(nested.items(), key=lambda x: (x[0][0], [-ord(c) for c in x[0][1]]))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stack: list[tuple[str, str, list]] = []
         at = 0
         for batch in batches:
-            keys, paths, best, verdicts = (batch.column(c).to_pylist() for c in ("_key", "path", "rule", "verdict"))
+            keys, paths, best, hosts, verdicts = (batch.column(c).to_pylist() for c in ("key", "path", "rule", "rule_host", "verdict"))
             for i, (key, path) in enumerate(zip(keys, paths, strict=True)):
                 while at < len(ordered) and ordered[at][0] <= key:
                     while stack and stack[-1][1] <= ordered[at][0]:
@@ -54,12 +54,12 @@ def _sweep(rules: list[tuple[str, str, str]]):
                 while stack and stack[-1][1] <= key:
                     stack.pop()
                 for _, _, own in stack:
-                    for start, name, verdict in own:
+                    for start, name, host, verdict in own:
                         if path.startswith(start):
-                            if best[i] is None or len(name) > len(best[i]):
-                                best[i], verdicts[i] = name, verdict
+                            if best[i] is None or (len(name), host) > (len(best[i]), hosts[i]):
+                                best[i], hosts[i], verdicts[i] = name, host, verdict
                             break
-            new = {"rule": pa.array(best, pa.string()), "verdict": pa.array(verdicts, pa.string())}
+            new = {"rule": pa.array(best, pa.string()), "rule_host": pa.array(hosts, pa.int32()), "verdict": pa.array(verdicts, pa.string())}
             yield pa.RecordBatch.from_arrays([new.get(n, batch.column(n)) for n in batch.schema.names], names=batch.schema.names)
 
     return run
@@ -69,26 +69,28 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "
     """``pages`` with host, path, rule and verdict; rules are (host, path, verdict).
 
     A rule fits its host and all subdomains if the path starts with its path; the
-    longest (host and path together) wins, and where none fits the verdict is
+    longest (host and path together) wins, of two equally long ones the one with the longer
+    host, and where none fits the verdict is
     ``default``. Keys, reversed hosts and paths, are dealt in ranges and sorted; each
     task sweeps its range with a stack of open rules. A host with very many rows is
     split by its paths and by a salt. Rules go to every task, ``block_rules`` of them
     at once; a longer list is swept in blocks, one after the other, over rows that
-    stay sorted.
+    stay sorted, with the same result.
 
     A null url, or one without ://, has an empty host and path; rules with an empty host
     fit only an empty host. Repeated rows give a row each; with repeated rules the
     first one counts; an empty table gives no rows. Columns of ``pages`` named host, path, rule or
-    verdict are replaced."""
-    kept = pages.drop("host", "path", "rule", "verdict")
+    verdict are replaced, after the url was read if it is one of them."""
+    new = ["host", "path", "rule", "verdict"]
     host, path = url_parts(F.col(f"`{url}`").cast("string"))
-    keyed = kept.withColumns({"host": host, "path": path, "rule": F.lit(None).cast("string"), "verdict": F.lit(default)}).withColumn("_key", reversed_host(F.col("host")))
-    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in kept.columns]), F.lit(4096))
-    out = keyed.withColumn("_salt", salt).repartitionByRange("_key", "path", "_salt").sortWithinPartitions("_key", "path")
+    own = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in pages.columns if c not in new])
+    rows = pages.select(own.alias("own"), host.alias("host"), path.alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(0).alias("rule_host"), F.lit(default).alias("verdict"))
+    salt = F.pmod(F.xxhash64("own"), F.lit(4096))
+    out = rows.withColumns({"key": reversed_host(F.col("host")), "salt": salt}).repartitionByRange("key", "path", "salt").sortWithinPartitions("key", "path").drop("salt")
     first: dict[tuple[str, str], str] = {}
     for h, p, v in rules:
         first.setdefault((h.translate({c: c + 32 for c in range(65, 91)}), p), v)
     whole = [(h, p, v) for (h, p), v in first.items()]
     for i in range(0, len(whole), block_rules):
         out = out.mapInArrow(_sweep(whole[i : i + block_rules]), out.schema)
-    return out.drop("_key", "_salt")
+    return out.select(*[F.col(f"own.`{c}`") for c in pages.columns if c not in new], *new)

@@ -88,6 +88,36 @@ def test_top_k_by_brute_force(sizes):
     assert [x[2] for x in topk.top_of_blocks(big[:1].astype(np.int64), ids[:1], big.astype(np.int64), ids, 5)] == [x[2] * 10**18 for x in want[:5]]
 
 
+def test_top_k_passes_blocks_over():
+    rng = np.random.default_rng(4)
+    centres = rng.integers(-200, 200, (40, 32))
+    v = np.repeat(centres, 50, axis=0) + rng.integers(-4, 5, (2000, 32))
+    ids = rng.permutation(2000)
+    seen: dict = {}
+    got = list(topk.top_of_blocks(v[:30], ids[:30], v, ids, 5, block=16, seen=seen))
+    want = [(int(i), j, -m) for q, i in zip(v[:30], ids[:30], strict=True) for m, j in sorted((-int(q @ x), int(j)) for x, j in zip(v, ids, strict=True) if j != i)[:5]]
+    assert got == want and seen["passed"] > 0.9 * (seen["passed"] + seen["scored"]) and sum(seen.values()) == 30 * 125
+
+
+def test_quality_vote_by_brute_force():
+    rng = np.random.default_rng(8)
+    vectors = rng.standard_normal((60, 6))
+    vectors[10:50] = vectors[3]  # ties at the last place
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    y = rng.integers(0, 2, 60).astype(float)
+    x = np.concatenate([rng.standard_normal((20, 6)), vectors[3:4], np.zeros((1, 6))])
+    got = quality.vote({"y": y, "vectors": vectors, "basis": np.eye(6)}, x, block=7)
+    for row, score in zip(x, got, strict=True):
+        cosine = np.round(vectors @ (row / max(1e-12, np.linalg.norm(row))), 5)
+        order = sorted(range(60), key=lambda i: -cosine[i])
+        last = cosine[order[24]]
+        above, tied = [i for i in order if cosine[i] > last], [i for i in order if cosine[i] == last]
+        votes = [(i, 1.0) for i in above] + [(i, (25 - len(above)) / len(tied)) for i in tied]
+        weight = [(s * max(cosine[i], 0) ** 4, y[i]) for i, s in votes]
+        want = (sum(w * v for w, v in weight) + 1e-3 * y.mean()) / (sum(w for w, _ in weight) + 1e-3)
+        assert abs(score - want) < 2e-6
+
+
 def test_top_k_edges(spark):
     rows = [(0, [1.0, 0.5]), (50, [1.0, None]), (1, [float("nan"), 1.0]), (2, None), (3, [0.5, 0.5]), (4, [0.5, 0.5]), (5, [1.0]), (None, [9.0, 9.0]), (100, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
@@ -132,6 +162,42 @@ def test_secret_patterns_by_brute_force(spark, docs):
     assert secrets.scan(docs.limit(0)).count() == 0
 
 
+def test_many_secrets_in_one_text(spark):
+    import time
+
+    text = "".join(f"password: hunter{i:06d} {KEY[i % 8 :]}{KEY} xyz{i}Q-{KEY.upper()[:20]} " for i in range(4000))
+    df = spark.createDataFrame([(1, text), (2, text[:50_000]), (3, "")], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r.base_sha256 for r in secrets.digest(secrets.scan(df)).collect()}
+    assert got == {i: hashlib.sha256(base(t).encode()).hexdigest() for i, t in ((1, text), (2, text[:50_000]), (3, ""))}
+    assert time.time() - began < 120
+
+
+def test_battery_by_brute_force(spark):
+    """Chi-squared, runs and serial correlation of a token, written out."""
+    import math
+
+    rng = np.random.default_rng(2)
+    tokens = ["".join(rng.choice(list(a), n)) for _, a in secrets.ENCODINGS for n in (20, 33, 64)] + ["a" * 30, "abababababababababababab"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(tokens)], "i long, t string")
+    tail = lambda z: 1 / (1 + math.exp(min(700, max(-700, z * (1.5976 + 0.070565 * z * z)))))
+    for r in df.select("i", "t", secrets.battery(F.col("t")).alias("b")).collect():
+        name, letters = next((n, a) for n, a in secrets.ENCODINGS if set(r.t) <= set(a))
+        x, size, n = [letters.index(c) + 1 for c in r.t], len(letters), len(r.t)
+        chi, free = sum(x.count(c) ** 2 for c in set(x)) * size / n - n, size - 1
+        spread = 2 / (9 * free)
+        p = [tail(((max(chi / free, 0)) ** (1 / 3) - (1 - spread)) / math.sqrt(spread))]
+        up = [c > (size + 1) / 2 for c in x]
+        mean = 2 * sum(up) * (n - sum(up)) / n + 1
+        var = (mean - 1) * (mean - 2) / (n - 1)
+        p.append(2 * tail(abs(1 + sum(a != b for a, b in zip(up, up[1:], strict=False)) - mean) / math.sqrt(var)) if var > 0 else 1e-6)
+        m = sum(x) / n
+        whole = sum((c - m) ** 2 for c in x)
+        p.append(2 * tail(abs(sum((a - m) * (b - m) for a, b in zip(x, x[1:], strict=False)) / whole + 1 / n) * math.sqrt(n)) if whole > 0 else 1e-6)
+        half = -sum(math.log(min(1, max(1e-12, v))) for v in p)
+        assert (r.b.encoding, r.b.length) == (name, n) and abs(r.b.p - math.exp(-half) * (1 + half + half * half / 2)) < 1e-9
+
+
 def test_random_tokens_are_told_from_words(spark):
     rng = np.random.default_rng(1)
     letters = np.array(list(secrets.UP + secrets.LOW + secrets.DIGITS + "+/"))
@@ -303,6 +369,14 @@ def test_url_rules_by_brute_force(spark):
         assert (r.host, r.path, r.rule, r.verdict) == (host, path, *want)
 
 
+def test_url_rules_ties_and_clashing_names(spark):
+    rules = [("com", "/bcd", "block"), ("a.com", "/b", "allow")]
+    for own in (rules, rules[::-1]):
+        for size in (1, 10):
+            got = url_rules.judge_urls(spark.createDataFrame([("http://a.com/bcd", 1, 2)], "host string, key int, _salt int"), own, url="host", block_rules=size).first()
+            assert got.asDict() == {"key": 1, "_salt": 2, "host": "a.com", "path": "/bcd", "rule": "a.com/b", "verdict": "allow"}
+
+
 def test_sentencepiece_parity(spark, docs):
     import sentencepiece
 
@@ -446,6 +520,73 @@ def test_token_query_by_brute_force(spark):
     assert toxic and {(r.source, r.lang, r.tokenizer): (r.n_docs, r.n_tokens) for r in QUERIES["op3_token_counts"](spark, SF).collect()} == want
 
 
+def test_blocks_that_cannot_share_enough_are_not_compared(spark):
+    """Members of one long run, each a root of its own: pages with one boilerplate."""
+    rows = [(1, True, i.to_bytes(2, "big"), 100, i.to_bytes(2, "big"), many) for i in range(2000) for many in [5]]
+    schema = "run long, lengthy boolean, cls binary, n long, root binary, many long"
+    members = spark.createDataFrame(rows, schema)
+    pairs = lambda m: jaccard_join._block_pairs(m, 75)[1].count()
+    assert pairs(members) == 0  # 5 shingles can't be the 10 or more that two sets of 100 share there
+    blocks = jaccard_join._block_pairs(members, 75)[0].select("block").distinct().count()
+    assert pairs(members.withColumn("many", F.lit(30).cast("long"))) == blocks * (blocks + 1) // 2
+    assert pairs(members.withColumn("lengthy", F.lit(False))) == blocks * (blocks + 1) // 2
+    one_root = members.withColumns({"many": F.lit(30).cast("long"), "root": F.when(F.col("cls") < b"\x07\x00", F.lit(b"x")).otherwise(F.col("root"))})
+    found = pairs(one_root)
+    assert 0 < found < blocks * (blocks + 1) // 2  # the large root's own blocks aren't compared with each other
+    sizes = members.withColumns({"many": F.lit(900).cast("long"), "n": F.when(F.col("cls") < b"\x04\x00", F.lit(100)).otherwise(F.lit(1000)).cast("long")})
+    homes, kept = jaccard_join._block_pairs(sizes, 75)
+    n = homes.groupBy("block").agg(F.min("n").alias("n"))
+    far = kept.join(n.withColumnRenamed("block", "i"), "i").join(n.select(F.col("block").alias("j"), F.col("n").alias("m")), "j").where("n <> m").count()
+    assert far == 0 and kept.count() > 0
+
+
+def test_pages_with_one_boilerplate(spark):
+    """Groups that share most of a page, some of them near copies of each other."""
+    rng = np.random.default_rng(6)
+    common = " ".join(f"c{i}" for i in range(160))
+    texts = []
+    for i in range(120):
+        own = " ".join(f"w{i}x{j}" for j in range(45))
+        texts.append(f"{common} {own}")
+        if i % 4 == 0:
+            texts.append(f"{common} {own} z{i}")
+    order = rng.permutation(len(texts))
+    df = spark.createDataFrame([(int(i), texts[k]) for i, k in enumerate(order)], "doc_id long, text string")
+    sets = [shingles(texts[k]) for k in order]
+    root = list(range(len(sets)))
+    for _ in range(2):
+        for a, x in enumerate(sets):
+            for b, y in enumerate(sets[:a]):
+                if 100 * len(x & y) >= 75 * len(x | y):
+                    root[a] = root[b] = min(root[a], root[b])
+    assert {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(df).collect()} == dict(enumerate(root))
+
+
+def test_pipeline_by_brute_force_with_odd_rows(spark, tmp_path):
+    """Nulls, empty texts, repeated and missing ids, repeated rows and clashing names."""
+    import corpus_pipeline
+    import sentencepiece
+
+    real = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'en' and length(text) between 300 and 3000").collect()}
+    some = sorted(real)[:6]
+    a, b, c, d = (real[i].text for i in some[:4])
+    rows = [(1, a, "en"), (1, a, "en"), (2, a, "en"), (3, b, "en"), (3, c, "en"), (4, c + " end", "en"), (None, b, "en"), (None, d, None), (5, None, "en"), (6, "", "en"), (7, "123 !!", "en"), (8, f"{real[some[4]].text} password: hunter2hunter2", "en"), (9, f"{real[some[5]].text} one two three four five", "en")]
+    names = "doc_id long, text string, lang string, source string, n_chars long, spans string, score double, _scan int"
+    docs = spark.createDataFrame([(i, t, lang, "s", len(t or ""), "mine", 0.5, 1) for i, t, lang in rows], names)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "One two, three four five"), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    # rows left: one of each group of like texts, the least id first; no benchmark item; no text without letters
+    clean = [(1, a), (3, b), (3, c), (None, d), (8, f"{real[some[4]].text} [secret]")]
+    sp = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
+    want = sorted((str(i), sp.encode(t)) for i, t in clean)
+    assert sorted((str(r.doc_id), list(r.input_ids)) for r in out) == want and all(r.parity and r.round_trip for r in out)
+    redacted = {r.doc_id: r for r in corpus_pipeline.redact_secrets(spark, docs, "").where("doc_id = 8").collect()}[8]
+    assert redacted.asDict() == {"doc_id": 8, "text": clean[4][1], "lang": "en", "source": "s", "n_chars": len(clean[4][1]), "spans": "mine", "score": 0.5, "_scan": 1}
+    for _, stage in corpus_pipeline.STAGES:  # empty tables
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 def test_pipeline_keeps_clean_documents(spark):
     import corpus_pipeline
 
