@@ -264,7 +264,7 @@ def clip_polygon_general(spark, sf):
             ways = [G.clip(two, (0, 0, 4096, 4096), union=u, fill=f) for u, f in ((True, "positive"), (True, "even_odd"), (False, "positive"))]
             a, b = 6 * (a + 1), 6 * (b + 1)
             notched = [(0, 0), (a, 0), (a, b // 3), (a // 3, b // 3), (a // 3, 2 * b // 3), (a, 2 * b // 3), (a, b), (0, b), (0, 0)]
-            arms = G.clip(("polygon", [notched]), (a // 2, 0, a, b))
+            arms = G.clip(("polygon", [[notched]]), (a // 2, 0, a, b))
             out.append([*map(total, ways), len(arms[1]), total(arms)])
         return pd.DataFrame(out, columns=["joined2", "odd2", "apart2", "n_arms", "arms2"], dtype="int64")
 
