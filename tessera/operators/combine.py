@@ -79,6 +79,16 @@ def upgrade(tiles: DataFrame) -> DataFrame:
     return concat_layers(parts.withColumn("part", F.when(F.col("version") == 1, upgraded("part")).otherwise(F.col("part"))))
 
 
+def update(tiles: DataFrame, z: int, encoder: E.TileEncoder) -> DataFrame:
+    """``tiles`` (z, x, y, and data, which may be null) of a zoom with the encoder's layers
+    behind their own. A layer whose name a tile holds already is skipped there, before it
+    is encoded. Tiles that hold nothing and get nothing are left out."""
+    here = tiles.where(F.col("z") == z)
+    own = D.split_layers(here.where("length(data) > 0")).withColumn("src", F.lit(0))
+    fresh = encoder.encode(z, here.select("x", "y").distinct(), own.select("x", "y", "name"))
+    return concat_layers(own.unionByName(D.split_layers(fresh).withColumn("src", F.lit(1))))
+
+
 def composite(targets: DataFrame, sources: DataFrame, reencode: bool = False, options: E.EncodeOptions | None = None) -> DataFrame:
     """Targets (z, x, y, and data, which may be null) with the layers of ``sources``
     (z, x, y, src, data) of the same address or of one above it. Layers of the same

@@ -35,6 +35,9 @@ class LayerSpec:
 
 @dataclass(frozen=True)
 class EncodeOptions:
+    """``max_extent`` (minx, miny, maxx, maxy in web mercator) cuts every tile's buffered
+    extent: nothing outside it is encoded."""
+
     tile_size: int = 4096
     buffer_size: int = 0
     scale_denominator: float = 0.0
@@ -48,6 +51,7 @@ class EncodeOptions:
     strictly_simple: bool = True
     fill_type: str = "positive"
     max_tiles_per_feature: int = 1 << 20
+    max_extent: tuple[float, float, float, float] | None = None
 
     def __post_init__(self):
         if self.tile_size < 0:
@@ -126,11 +130,19 @@ def _to_commands(o: EncodeOptions, extent: int, buffer_cells: float, z: int):
                 left, top = x * side - M.HALF, M.HALF - y * side
                 pad = buffer_cells * side / extent
                 box = (left - pad, top - side - pad, left + side + pad, top + pad)
+                edge = None
+                if o.max_extent is not None:
+                    m = o.max_extent
+                    box = (max(box[0], m[0]), max(box[1], m[1]), min(box[2], m[2]), min(box[3], m[3]))
+                    if box[0] > box[2] or box[1] > box[3]:
+                        continue
+                    cell = lambda v, shift: G._half_up(v * extent / side - shift)
+                    edge = (cell(box[0] - left, o.offset_x), cell(top - box[3], o.offset_y), cell(box[2] - left, o.offset_x), cell(top - box[1], o.offset_y))
                 local = _to_grid(geom, box, left, top, extent / side, o)
                 if o.simplify_distance > 0:
                     local = G.simplify(local, o.simplify_distance)
                 low, high = (G._half_up(-buffer_cells) - o.offset_x, G._half_up(extent + buffer_cells) - o.offset_x), (G._half_up(-buffer_cells) - o.offset_y, G._half_up(extent + buffer_cells) - o.offset_y)
-                local = G.clip(local, (low[0], high[0], low[1], high[1]), o.area_threshold, o.process_all_rings, o.fill_type, o.multi_polygon_union)
+                local = G.clip(local, edge or (low[0], high[0], low[1], high[1]), o.area_threshold, o.process_all_rings, o.fill_type, o.multi_polygon_union)
                 coded = G.encode(local)
                 if coded is not None:
                     keep.append(i)
@@ -182,6 +194,9 @@ def encode_features(layer: LayerSpec, z: int, options: EncodeOptions, tiles: Dat
     geom = to_mercator(F.col("geom")) if layer.srs == 4326 else F.col("geom")
     rows = df.select(geom.alias("geom"), F.col("fid").cast("long").alias("fid"), (F.col("ord") if "ord" in df.columns else F.col("fid")).cast("long").alias("ord"), attributes(df, names).alias("attrs"))
     rows = rows.where("geom is not null and geom.kind <> 'empty'").withColumn("box", envelope(F.col("geom"))).where("box.minx is not null")
+    if options.max_extent is not None:
+        most = F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(("minx", "miny", "maxx", "maxy"), options.max_extent, strict=True)])
+        rows = rows.where(M.intersects(F.col("box"), most)).withColumn("box", F.struct(*[pick(F.col("box")[n], most[n]).alias(n) for n, pick in (("minx", F.greatest), ("miny", F.greatest), ("maxx", F.least), ("maxy", F.least))]))
     many = M.covering_tiles(F.col("box.minx"), F.col("box.miny"), F.col("box.maxx"), F.col("box.maxy"), z, max(cells, 0.0), extent)
     capped = F.when(F.size(many) > options.max_tiles_per_feature, F.raise_error(F.lit("a feature covers more tiles than max_tiles_per_feature"))).otherwise(many)
     rows = rows.withColumn("tile", F.explode(capped)).select(F.col("tile.x").alias("x"), F.col("tile.y").alias("y"), "geom", "fid", "ord", "attrs")
@@ -212,15 +227,19 @@ class TileEncoder:
     layers: list[LayerSpec]
     options: EncodeOptions = field(default_factory=EncodeOptions)
 
-    def encode(self, z: int, tiles: DataFrame | None = None) -> DataFrame:
+    def encode(self, z: int, tiles: DataFrame | None = None, held: DataFrame | None = None) -> DataFrame:
         """z, x, y, data, painted, empty, n_features, n_keys, n_values for every tile that
-        any layer paints. One shuffle, by tile."""
+        any layer paints. One shuffle, by tile. With ``tiles`` (x, y) none but those, and
+        no layer where ``held`` (x, y, name) has it; that is joined before any encoding."""
         first: dict[str, LayerSpec] = {}
         for layer in self.layers:
             first.setdefault(layer.name, layer)
         parts, order = [], list(first)
         for layer in first.values():
-            part = encode_features(layer, z, self.options, tiles)
+            todo = tiles
+            if tiles is not None and held is not None:
+                todo = tiles.select("x", "y").join(held.where(F.col("name") == layer.name), ["x", "y"], "left_anti")
+            part = encode_features(layer, z, self.options, todo)
             if part is not None:
                 parts.append(part.withColumn("layer", F.lit(layer.name)))
         schema = "x bigint, y bigint, data binary, painted array<string>, n_features bigint, n_keys bigint, n_values bigint"

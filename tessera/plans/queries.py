@@ -429,6 +429,27 @@ def composite_first_wins(spark, sf):
     return decode.layer_headers(combine.composite(targets, above.unionByName(same))).select("x", "y", F.col("n_features").alias("n"))
 
 
+@query(_TILED + "SELECT x, y, count(*) FILTER (c_custkey % 2 = 0) AS n_a, count(*) AS n_b FROM u GROUP BY 1, 2 HAVING count(*) FILTER (c_custkey % 2 = 0) > 0")
+def update_tiles(spark, sf):
+    """Tiles hold layer a of the even customers; a and b of all are offered, a is skipped."""
+    c = customers(spark, sf)
+    rows = c.select(point(F.col("mx"), F.col("my")).alias("geom"), F.col("c_custkey").alias("fid"))
+    own = TileEncoder([LayerSpec("a", rows.where("fid % 2 = 0"))]).encode(3).select("z", "x", "y", "data")
+    found = combine.update(own, 3, TileEncoder([LayerSpec("a", rows), LayerSpec("b", rows)]))
+    n = lambda name: F.sum(F.when(F.col("layer") == name, F.col("n_features"))).alias(f"n_{name}")
+    return decode.layer_headers(found).groupBy("x", "y").agg(n("a"), n("b"))
+
+
+@query(_TILED + "SELECT x, y, count(*) AS n_features FROM u WHERE gx BETWEEN 204800 AND 716800 AND gy BETWEEN 307200 AND 921600 GROUP BY 1, 2")
+def encode_max_extent(spark, sf):
+    """Customers as tiles, within a part of the world."""
+    c = customers(spark, sf)
+    rows = c.select(point(F.col("mx"), F.col("my")).alias("geom"), F.col("c_custkey").alias("fid"))
+    cell = 2 * M.HALF / GRID
+    box = (204800 * cell - M.HALF, M.HALF - 921600 * cell, 716800 * cell - M.HALF, M.HALF - 307200 * cell)
+    return TileEncoder([LayerSpec("customers", rows)], EncodeOptions(max_extent=box)).encode(3).select("x", "y", "n_features")
+
+
 @query(_TILED + "SELECT x, y, 'gzip' AS packed, 'zlib' AS deflated, 'none' AS plain, true AS same FROM u GROUP BY 1, 2")
 def compress_round_trip(spark, sf):
     t = customer_tiles(spark, sf).withColumns({"g": codec.compress(F.col("data")), "d": codec.compress(F.col("data"), gzip=False)})

@@ -1,4 +1,5 @@
 import math
+import os
 
 import numpy as np
 import pytest
@@ -255,6 +256,63 @@ def test_tile_files(spark, tmp_path):
     tiles.write.format("mvt").mode("append").save(str(tmp_path))
     back = spark.read.format("mvt").load(str(tmp_path))
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, tiles.collect()))
+    assert not [n for n in os.listdir(tmp_path) if not n.isdigit()]  # nothing staged is left
+    some = tiles.where("x = 2")
+    some.withColumn("data", F.lit(b"other")).write.format("mvt").mode("append").save(str(tmp_path))
+    assert back.count() == tiles.count() and {bytes(r.data) for r in back.where("x = 2").collect()} == {b"other"}
+    some.write.format("mvt").mode("overwrite").save("file://" + str(tmp_path))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, some.collect()))
+
+
+def test_tile_files_conditions_choose_files(spark, tmp_path):
+    from pyspark.sql.datasource import EqualTo, GreaterThan, IsNull
+
+    from tessera.sources import mvt
+
+    mvt.register(spark)
+    keys = [(z, x, y, bytearray(b"t")) for z in (0, 1, 2) for x in range(2**z) for y in range(2**z)]
+    spark.createDataFrame(keys, "z int, x long, y long, data binary").write.format("mvt").mode("append").save(str(tmp_path))
+    back = spark.read.format("mvt").load(str(tmp_path))
+    for where in ("z = 2 and x > 1 and y <= 2", "x in (1, 3) and z >= 1", "z = 2 and y % 2 = 0", "z is not null and x = 9", "z <=> 1", "z = x"):
+        want = spark.createDataFrame(keys, "z int, x long, y long, data binary").where(where)
+        assert sorted(map(tuple, back.where(where).collect())) == sorted(map(tuple, want.collect()))
+    reader = mvt._Reader(str(tmp_path), None)
+    left = list(reader.pushFilters([EqualTo(("z",), 2), GreaterThan(("x",), 1), EqualTo(("data",), b"t"), IsNull(("z",))]))
+    assert [type(f).__name__ for f in left] == ["EqualTo", "IsNull"]
+    assert [p.value for p in reader.partitions()] == [(2, 2), (2, 3)]
+    boxed = spark.read.format("mvt").option("bbox", "1,1,2,2").load(str(tmp_path))
+    assert sorted((r.z, r.x, r.y) for r in boxed.collect()) == [(0, 0, 0), (1, 1, 0), (2, 2, 1)]
+    edge = spark.read.format("mvt").option("bbox", "0,0,0,0").load(str(tmp_path)).where("z = 1")
+    assert edge.count() == 4
+
+
+def test_tile_files_of_a_failed_write_do_not_show(spark, tmp_path):
+    from tessera.sources import mvt
+
+    mvt.register(spark)
+    keys = spark.createDataFrame([(0, 0, 0, bytearray(b"t"))], "z int, x long, y long, data binary")
+    keys.write.format("mvt").mode("append").save(str(tmp_path))
+    bad = spark.createDataFrame([(1, 0, 0, bytearray(b"u")), (1, None, 0, bytearray(b"u"))], "z int, x long, y long, data binary").coalesce(1)
+    with pytest.raises(Exception, match="without key"):
+        bad.write.format("mvt").mode("overwrite").save(str(tmp_path))
+    assert [tuple(r) for r in spark.read.format("mvt").load(str(tmp_path)).collect()] == [(0, 0, 0, bytearray(b"t"))]
+    assert os.listdir(tmp_path) == ["0"]
+
+
+def test_max_extent_cuts_polygons(spark):
+    h = M.HALF
+    ring = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((-h, -h), (h, -h), (h, h), (-h, h), (-h, -h))])
+    src = spark.range(1).select(geometry("polygon", F.array(F.array(ring))).alias("geom"), F.lit(7).alias("fid"))
+    tiles = TileEncoder([LayerSpec("a", src)], EncodeOptions(max_extent=(-h / 2, 0.0, h / 4, h / 2), buffer_size=64)).encode(1)
+    found = {(r.x, r.y): [(p.x, p.y) for p in r.geom.parts[0][0]] for r in decode.features(tiles, map_units=False).where("gtype = 3").collect()}
+    assert {k: (min(v), max(v)) for k, v in found.items() if k in ((0, 0), (1, 0))} == {(0, 0): ((2048, 2048), (4160, 4096)), (1, 0): ((-64, 2048), (1024, 4096))}
+
+
+def test_update_of_tiles_without_data(spark):
+    src = spark.range(1).select(point(F.lit(5.0), F.lit(5.0)).alias("geom"), F.lit(1).alias("fid"))
+    tiles = spark.createDataFrame([(1, 1, 0, None), (1, 0, 1, None), (2, 0, 0, None)], "z int, x long, y long, data binary")
+    found = combine.update(tiles, 1, TileEncoder([LayerSpec("a", src)]))
+    assert [(r.z, r.x, r.y) for r in found.collect()] == [(1, 1, 0)]
 
 
 def test_features_at_point_returns_every_neighbour(spark, tmp_path):
