@@ -450,6 +450,42 @@ def encode_max_extent(spark, sf):
     return TileEncoder([LayerSpec("customers", rows)], EncodeOptions(max_extent=box)).encode(3).select("x", "y", "n_features")
 
 
+@query("SELECT n_nationkey % 8 AS x, n_nationkey // 8 AS y, CAST(n_nationkey AS BIGINT) AS fid, CAST(64 AS BIGINT) AS n_pixels, CAST(4 * (16 * (7 * n_nationkey + 1) + 120) AS BIGINT) AS total, CAST(n_nationkey AS BIGINT) AS first_x, CAST(2 * n_nationkey AS BIGINT) AS first_y FROM nation")
+def raster_tiles(spark, sf):
+    """A raster of 4 x 4 pixels for each nation, shown at twice its size in a tile of its
+    own: its pixels, their sum and the place of the first one."""
+    from tessera.operators import raster as R
+
+    k, side = F.col("n_nationkey"), 2 * M.HALF / 8
+    left, top = k % 8 * side + k * (side / 256) - M.HALF, F.lit(M.HALF) - F.floor(k / 8) * side - k * (side / 128)
+    pixels = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.lpad(F.hex((k * 7 + i + 1).cast("long")), 2, "0")), ""))
+    source = read(spark, sf, "nation").select(k.alias("fid"), left.alias("minx"), (top - side / 32).alias("miny"), (left + side / 32).alias("maxx"), top.alias("maxy"), F.lit(4).alias("width"), F.lit(4).alias("height"), F.lit("gray8").alias("type"), pixels.alias("pixels"))
+
+    @F.pandas_udf("n_pixels long, total long, first_x long, first_y long")
+    def seen(images: pd.Series) -> pd.DataFrame:
+        out = []
+        for b in images:
+            image = R.from_bytes(b)
+            rows, columns = image.nonzero()
+            out.append([len(rows), int(image.sum()), columns.min(), rows.min()])
+        return pd.DataFrame(out, columns=["n_pixels", "total", "first_x", "first_y"], dtype="int64")
+
+    found = decode.features(R.encode_rasters(source, "nations", 3, declared_extent=4096))
+    return found.select("x", "y", "fid", seen("raster").alias("s")).select("x", "y", "fid", "s.*")
+
+
+@query(_BOXES + """, s AS (SELECT p_partkey, greatest(x0, 0) / 16.0 AS a, (4096 - least(y0 + h, 4096)) / 16.0 AS b, least(x0 + w, 4096) / 16.0 AS c, (4096 - greatest(y0, 0)) / 16.0 AS d FROM b),
+f AS (SELECT *, greatest(least(floor(a), 255), 0) AS xo, greatest(least(floor(b), 255), 0) AS yo FROM s WHERE c > a AND d > b)
+SELECT p_partkey, CAST(xo AS INTEGER) AS x_off, CAST(yo AS INTEGER) AS y_off, CAST(greatest(least(ceil(c), 256) - xo, 1) AS INTEGER) AS width, CAST(greatest(least(ceil(d), 256) - yo, 1) AS INTEGER) AS height FROM f""")
+def raster_window(spark, sf):
+    """The pixels that boxes need of an image of 256 x 256 over a tile of 4096 x 4096."""
+    from tessera.operators import raster as R
+
+    tile = F.struct(*[F.lit(float(v)).alias(n) for n, v in (("minx", 0), ("miny", 0), ("maxx", 4096), ("maxy", 4096))])
+    b = boxes(spark, sf).withColumn("w", R.window(tile, F.col("box"), F.lit(256), F.lit(256))).where("w is not null")
+    return b.select("p_partkey", "w.x_off", "w.y_off", "w.width", "w.height")
+
+
 @query(_TILED + "SELECT x, y, 'gzip' AS packed, 'zlib' AS deflated, 'none' AS plain, true AS same FROM u GROUP BY 1, 2")
 def compress_round_trip(spark, sf):
     t = customer_tiles(spark, sf).withColumns({"g": codec.compress(F.col("data")), "d": codec.compress(F.col("data"), gzip=False)})

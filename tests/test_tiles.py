@@ -12,6 +12,7 @@ from tessera.functions import codec
 from tessera.functions import tilemath as M
 from tessera.operators import combine, decode, overlay
 from tessera.operators import geometry as G
+from tessera.operators import raster as R
 from tessera.operators import tile as T
 from tessera.operators import wire as W
 from tessera.operators.encode import EncodeOptions, LayerSpec, TileEncoder, geometry, point
@@ -321,3 +322,75 @@ def test_features_at_point_returns_every_neighbour(spark, tmp_path):
     twin = base.where("c_custkey = 5").withColumn("c_custkey", F.col("c_custkey") + 16383)
     base.unionByName(twin.select(*[F.col(f.name).cast(f.dataType) for f in base.schema])).write.parquet(str(tmp_path / "customer.parquet"))
     assert sorted(r.c_custkey for r in QUERIES["features_at_point"](spark, str(tmp_path)).collect()) == [5, 16388]
+
+
+def _filtered_png(image, kind):
+    """A PNG whose rows all have one filter."""
+    import struct
+    import zlib
+
+    plain = R.to_png(image)
+    rows = image.reshape(image.shape[0], -1).astype(int)
+    step = image.shape[2] if image.ndim == 3 else 1
+    left = np.pad(rows, ((0, 0), (step, 0)))[:, : rows.shape[1]]
+    up = np.pad(rows, ((1, 0), (0, 0)))[:-1]
+    corner = np.pad(rows, ((1, 0), (step, 0)))[:-1, : rows.shape[1]]
+    near = np.stack([left, up, corner])
+    paeth = np.take_along_axis(near, np.abs(left + up - corner - near).argmin(0)[None], 0)[0]
+    guess = [0 * rows, left, up, (left + up) // 2, paeth][kind]
+    raw = np.hstack([np.full((len(rows), 1), kind), (rows - guess) % 256]).astype(np.uint8).tobytes()
+    body = zlib.compress(raw)
+    return plain[:33] + struct.pack(">I", len(body)) + b"IDAT" + body + b"\0\0\0\0" + plain[-12:]
+
+
+@pytest.mark.parametrize("kind", range(5))
+def test_images_come_back(kind):
+    rng = np.random.default_rng(kind)
+    for shape in ((5, 7), (1, 1), (6, 4, 3), (4, 6, 4)):
+        image = rng.integers(0, 256, shape).astype(np.uint8)
+        assert (R.from_bytes(_filtered_png(image, kind)) == image).all()
+    for name in R.TYPES.values():
+        image = (rng.random((3, 4)) * 100).astype(name)
+        assert (R.from_bytes(R.to_bytes(image, "npy")) == image).all()
+    deep = rng.integers(0, 65536, (3, 5)).astype(np.uint16)
+    assert (R.from_bytes(R.to_png(deep)) == deep).all()
+    with pytest.raises(ValueError):
+        R.to_png(deep.astype(np.int32))
+
+
+def test_sampling_and_painting():
+    image = np.array([[0, 100], [200, 60]], np.uint8)
+    at = np.array([0.25, 0.75, 1.25, 1.75])
+    assert (R.sample(image, at, at) == image.repeat(2, 0).repeat(2, 1)).all()
+    smooth = R.sample(image, at, at, "bilinear")
+    assert smooth[0].tolist() == [0, 25, 75, 100] and smooth[1, 1] == round(0.75 * 25 + 0.25 * 165)
+    clear = np.array([[[255, 0, 0, 255], [0, 255, 0, 0]]], np.uint8)
+    assert R.sample(clear, np.array([0.5]), np.array([1.0]), "bilinear")[0, 0].tolist() == [255, 0, 0, 128]  # what is clear lends no colour
+    h = M.HALF
+    canvas = R.paint(image, (-h / 2, -h, h / 2, h / 2), 3857, 1, 1, 0, 8, "near")  # right half of the image, upper part
+    assert (canvas[4:, :4] == 100).all() and canvas[:4].sum() == 0 and canvas[:, 4:].sum() == 0
+    assert R.paint(image, (-h / 2, 0, -h / 4, h), 3857, 1, 1, 0, 8, "near") is None
+    world = R.paint(np.arange(180, dtype=np.uint8).reshape(180, 1), (-180.0, -90.0, 180.0, 90.0), 4326, 0, 0, 0, 64, "near")
+    assert world[0, 0] == math.floor(90 - math.degrees(2 * math.atan(math.exp((h - h / 64) / M.RADIUS)) - math.pi / 2)) and world[31, 5] == 87 and world[32, 5] == 92  # half a pixel of 360 / 64 degrees off the equator
+
+
+def test_rasters_to_tiles_and_back(spark):
+    h = M.HALF
+    pixels = np.arange(64, dtype="<i2").reshape(8, 8) - 9
+    rows = [(2, -h, -h, h, h, 8, 8, "gray16s", bytearray((pixels * 0 + 5).tobytes()), "b"), (1, -h, 0.0, 0.0, h, 8, 8, "gray16s", bytearray(pixels.tobytes()), "a")]
+    rows += [rows[1], (0, None, 0.0, 0.0, h, 8, 8, "gray16s", bytearray(b""), "c"), (0, -h, 0.0, 0.0, h, 0, 8, "gray16s", bytearray(b""), "d")]
+    schema = "fid long, minx double, miny double, maxx double, maxy double, width int, height int, type string, pixels binary, name string"
+    source = spark.createDataFrame(rows, schema)
+    tiles = R.encode_rasters(source, "r", 1, tile_size=16, form="npy")
+    found = {(r.x, r.y): r for r in decode.features(tiles).collect()}
+    assert {k: (r.fid, r.extent, r.attrs["name"].s) for k, r in found.items()} == {(0, 0): (1, 16, "a"), (1, 0): (2, 16, "b"), (0, 1): (2, 16, "b"), (1, 1): (2, 16, "b")}
+    assert (R.from_bytes(found[0, 0].raster) == pixels.repeat(2, 0).repeat(2, 1)).all()
+    part = R.read_rasters(decode.features(tiles), (-h * 0.74, h * 0.3, -h * 0.51, h * 0.45)).collect()
+    assert len(part) == 1 and tuple(part[0].window)[:4] == (4, 8, 4, 4)
+    assert (R.from_bytes(part[0].raster) == pixels.repeat(2, 0).repeat(2, 1)[8:12, 4:8]).all()
+    assert tuple(part[0].window.box) == pytest.approx((-h * 0.75, h * 0.25, -h * 0.5, h * 0.5))
+    assert R.encode_rasters(source.limit(0), "r", 1).count() == 0
+    with pytest.raises(Exception, match="size"):
+        R.encode_rasters(source.withColumn("pixels", F.lit(b"x")), "r", 1).collect()
+    with pytest.raises(ValueError):
+        R.encode_rasters(source, "r", 1, method="cubic")
