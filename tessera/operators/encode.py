@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from tessera import schema as S
 from tessera.functions import cmds as C
 from tessera.functions import tilemath as M
 from tessera.operators import geometry as G
-from tessera.operators.tile import LayerWriter
+from tessera.operators.tile import LayerWriter, feature_geometry
 
 
 @dataclass(frozen=True)
@@ -116,16 +117,13 @@ def envelope(geom: Column) -> Column:
     return C.envelope(points)
 
 
-_feature = pa.schema([("ord", pa.int64()), ("gtype", pa.int8()), ("cmds", pa.list_(pa.int64()))])
-
-
 def _to_commands(o: EncodeOptions, extent: int, buffer_cells: float, z: int):
     """Filter, transform, simplify, clip and encode in one pass over Arrow batches."""
     side = 2 * M.HALF / 2**z
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, gtypes, codes = [], [], []
+            keep, codes = [], []
             for i, (x, y, geom) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("x", "y", "geom")), strict=True)):
                 left, top = x * side - M.HALF, M.HALF - y * side
                 pad = buffer_cells * side / extent
@@ -146,11 +144,10 @@ def _to_commands(o: EncodeOptions, extent: int, buffer_cells: float, z: int):
                 coded = G.encode(local)
                 if coded is not None:
                     keep.append(i)
-                    gtypes.append(coded[0])
-                    codes.append(coded[1])
+                    codes.append(feature_geometry(*coded))
             rest = batch.take(pa.array(keep, pa.int64()))
             cols = [rest.column(c) for c in ("x", "y", "ord", "fid", "attrs")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(gtypes, pa.int8()), pa.array(codes, pa.list_(pa.int64()))], names=["x", "y", "ord", "fid", "attrs", "gtype", "cmds"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(codes, pa.binary())], names=["x", "y", "ord", "fid", "attrs", "code"])
 
     return run
 
@@ -179,7 +176,7 @@ def _to_grid(geom: dict, box, left: float, top: float, per_unit: float, o: Encod
 
 
 def encode_features(layer: LayerSpec, z: int, options: EncodeOptions, tiles: DataFrame | None = None) -> DataFrame | None:
-    """(x, y, ord, fid, attrs, gtype, cmds) of a layer on all tiles it meets at a zoom, or
+    """(x, y, ord, fid, attrs, code: the bytes of type and geometry) of a layer on all tiles it meets at a zoom, or
     on those in ``tiles`` (x, y); None if the layer isn't visible at this scale."""
     if layer.srs not in (3857, 4326):
         raise ValueError(f"srs {layer.srs} is not supported; 3857 and 4326 are")
@@ -202,16 +199,22 @@ def encode_features(layer: LayerSpec, z: int, options: EncodeOptions, tiles: Dat
     rows = rows.withColumn("tile", F.explode(capped)).select(F.col("tile.x").alias("x"), F.col("tile.y").alias("y"), "geom", "fid", "ord", "attrs")
     if tiles is not None:
         rows = rows.join(tiles.select("x", "y").distinct(), ["x", "y"], "left_semi")
-    return rows.mapInArrow(_to_commands(options, extent, cells, z), f"x bigint, y bigint, ord bigint, fid bigint, attrs map<string,{S.VALUE}>, gtype tinyint, cmds array<bigint>")
+    return rows.mapInArrow(_to_commands(options, extent, cells, z), f"x bigint, y bigint, ord bigint, fid bigint, attrs map<string,{S.VALUE}>, code binary")
+
+
+SLICE = 4096  # features of a tile that are Python objects at a time
 
 
 def _assemble(extents: dict[str, int], order: list[str]):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         writers = {}
-        rows = table.select(["layer", "ord", "fid", "gtype", "cmds", "attrs"]).to_pylist()
-        for r in sorted(rows, key=lambda r: (order.index(r["layer"]), r["ord"] is None, r["ord"] or 0, r["cmds"])):
-            w = writers.setdefault(r["layer"], LayerWriter(r["layer"], extents[r["layer"]]))
-            w.add_coded(r["gtype"], r["cmds"], r["fid"], {k: plain(v) for k, v in r["attrs"]})
+        keys = pa.table({"place": pc.index_in(table["layer"], pa.array(order)), "ord": table["ord"], "code": table["code"]})
+        turn = pc.sort_indices(keys, [(c, "ascending") for c in keys.column_names])
+        rows = table.select(["layer", "ord", "fid", "code", "attrs"])
+        for i in range(0, len(turn), SLICE):
+            for r in rows.take(turn[i : i + SLICE]).to_pylist():
+                w = writers.setdefault(r["layer"], LayerWriter(r["layer"], extents[r["layer"]]))
+                w.add_coded(r["code"], r["fid"], {k: plain(v) for k, v in r["attrs"]})
         data = b"".join(w.bytes() for w in writers.values())
         x, y = key[0].as_py(), key[1].as_py()
         painted = [n for n in order if n in writers]

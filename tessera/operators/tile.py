@@ -75,6 +75,11 @@ def _value(tag: int, v) -> bytes:
     return W.uint(tag, int(v))
 
 
+def feature_geometry(gtype: int, cmds: list[int]) -> bytes:
+    """A feature's type and geometry fields."""
+    return W.uint(FEATURE_TYPE, gtype) + W.packed_uints(FEATURE_GEOMETRY, cmds)
+
+
 class LayerWriter:
     """A layer's bytes. Keys and values are numbered in the order in which features
     that are kept first use them; a value's type is part of it, and NaN equals NaN."""
@@ -104,11 +109,12 @@ class LayerWriter:
     def add(self, geom: tuple[str, list], fid: int | None, attrs: dict) -> bool:
         """False, and nothing written, for a degenerate geometry."""
         coded = G.encode(geom)
-        return coded is not None and self.add_coded(*coded, fid, attrs)
+        return coded is not None and self.add_coded(feature_geometry(*coded), fid, attrs)
 
-    def add_coded(self, gtype: int, cmds: list[int], fid: int | None, attrs: dict) -> bool:
+    def add_coded(self, geometry: bytes, fid: int | None, attrs: dict) -> bool:
+        """A feature of feature_geometry()'s bytes."""
         tags = self._tags(attrs)
-        f = W.uint(FEATURE_TYPE, gtype) + W.packed_uints(FEATURE_GEOMETRY, cmds)
+        f = geometry
         if fid is not None:
             f += W.uint(FEATURE_ID, fid)
         self.out.append(W.blob(LAYER_FEATURE, f + W.packed_uints(FEATURE_TAGS, tags)))
