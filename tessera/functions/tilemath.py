@@ -74,6 +74,36 @@ def lonlat_to_mercator(lon: Column, lat: Column) -> Column:
     return F.when(ok, F.struct((lon * (HALF / 180.0)).alias("x"), y.alias("y")))
 
 
+def mercator_to_lonlat(x: Column, y: Column) -> Column:
+    """struct(x, y) in degrees."""
+    lat = F.degrees(F.atan(F.exp(y / RADIUS)) * 2.0 - math.pi / 2)
+    return F.struct((x * (180.0 / HALF)).alias("x"), lat.alias("y"))
+
+
+def source_box(box: Column, srs: int) -> Column:
+    """A box of the map in the units of a source. Both axes keep their order, so two corners
+    are enough."""
+    if srs == 3857:
+        return box
+    low, high = mercator_to_lonlat(box["minx"], box["miny"]), mercator_to_lonlat(box["maxx"], box["maxy"])
+    return F.struct(low["x"].alias("minx"), low["y"].alias("miny"), high["x"].alias("maxx"), high["y"].alias("maxy"))
+
+
+def query_extent(layer: Column, box: Column, srs: int) -> Column:
+    """What of a layer's box (source units) a box of the map asks for; null if nothing."""
+    own = source_box(box, srs)
+    shared = F.struct(*[pick(layer[n], own[n]).alias(n) for n, pick in (("minx", F.greatest), ("miny", F.greatest), ("maxx", F.least), ("maxy", F.least))])
+    return F.when(intersects(layer, own), shared)
+
+
+def query_resolution(box: Column, extent, srs: int) -> Column:
+    """struct(x, y): grid cells to a unit of the source, over an unbuffered box; a side
+    without length counts as one unit."""
+    own = source_box(box, srs)
+    per = lambda side: _c(extent) / F.when(side > 0, side).otherwise(F.lit(1.0))
+    return F.struct(per(own["maxx"] - own["minx"]).alias("x"), per(own["maxy"] - own["miny"]).alias("y"))
+
+
 def lonlat_to_tile(lon: Column, lat: Column, z) -> Column:
     """struct(x, y): the place in tiles at a zoom, as fractions."""
     s = F.sin(F.radians(lat))

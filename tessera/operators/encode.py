@@ -22,7 +22,9 @@ from tessera.operators.tile import LayerWriter, feature_geometry
 class LayerSpec:
     """A layer: ``source`` has geom (schema.GEOM, map units), fid and attribute columns;
     ``attributes`` None means all. ``buffer`` overrides the tile's, in 256ths of the
-    extent. Layers outside their scale denominators are left out."""
+    extent. Layers outside their scale denominators are left out. ``bounds`` names four
+    columns with each feature's minx, miny, maxx and maxy in source units: what lies outside
+    the encoder's max_extent is then left out by comparisons that reach the scan."""
 
     name: str
     source: DataFrame
@@ -32,6 +34,7 @@ class LayerSpec:
     min_scale: float = 0.0
     max_scale: float = float("inf")
     extent: int | None = None
+    bounds: tuple[str, str, str, str] | None = None
 
 
 @dataclass(frozen=True)
@@ -186,13 +189,16 @@ def encode_features(layer: LayerSpec, z: int, options: EncodeOptions, tiles: Dat
         return None
     extent = layer.extent or options.tile_size
     cells = float(options.buffer_size) if layer.buffer is None else layer.buffer * extent / 256
-    df = layer.source
+    df, ends = layer.source, ("minx", "miny", "maxx", "maxy")
+    if options.max_extent is not None:
+        most = F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(ends, options.max_extent, strict=True)])
+        if layer.bounds is not None:
+            df = df.where(M.intersects(F.struct(*[F.col(f"`{c}`").alias(n) for n, c in zip(ends, layer.bounds, strict=True)]), M.source_box(most, layer.srs)))
     names = [c for c in df.columns if c not in ("geom", "fid", "ord")] if layer.attributes is None else list(layer.attributes)
     geom = to_mercator(F.col("geom")) if layer.srs == 4326 else F.col("geom")
     rows = df.select(geom.alias("geom"), F.col("fid").cast("long").alias("fid"), (F.col("ord") if "ord" in df.columns else F.col("fid")).cast("long").alias("ord"), attributes(df, names).alias("attrs"))
     rows = rows.where("geom is not null and geom.kind <> 'empty'").withColumn("box", envelope(F.col("geom"))).where("box.minx is not null")
     if options.max_extent is not None:
-        most = F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(("minx", "miny", "maxx", "maxy"), options.max_extent, strict=True)])
         rows = rows.where(M.intersects(F.col("box"), most)).withColumn("box", F.struct(*[pick(F.col("box")[n], most[n]).alias(n) for n, pick in (("minx", F.greatest), ("miny", F.greatest), ("maxx", F.least), ("maxy", F.least))]))
     many = M.covering_tiles(F.col("box.minx"), F.col("box.miny"), F.col("box.maxx"), F.col("box.maxy"), z, max(cells, 0.0), extent)
     capped = F.when(F.size(many) > options.max_tiles_per_feature, F.raise_error(F.lit("a feature covers more tiles than max_tiles_per_feature"))).otherwise(many)

@@ -266,10 +266,11 @@ def crop(data: Column, window: Column) -> Column:
     return run(data, *[window[c] for c in ("x_off", "y_off", "width", "height")])
 
 
-def read_rasters(found: DataFrame, query: tuple[float, float, float, float]) -> DataFrame:
+def read_rasters(found: DataFrame, query: tuple[float, float, float, float], envelope: Column | None = None) -> DataFrame:
     """Of decoded features (z, x, y, raster) those whose raster meets ``query`` (map units):
-    the window of the image that holds it, and that window's box."""
-    tile = M.tile_bbox(F.col("z"), F.col("x"), F.col("y"))
+    the window of the image that holds it, and that window's box. Images lie over the tile,
+    or over ``envelope``, a box, if given."""
+    tile = M.tile_bbox(F.col("z"), F.col("x"), F.col("y")) if envelope is None else envelope
     box = F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(("minx", "miny", "maxx", "maxy"), query, strict=True)])
     sized = found.where("raster is not null").withColumn("_size", image_size(F.col("raster")))
     cut = sized.withColumn("window", window(tile, box, F.col("_size.width"), F.col("_size.height"))).where("window is not null")

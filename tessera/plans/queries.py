@@ -148,6 +148,17 @@ def scale_visible_layers(spark, sf):
     return n.select("n_nationkey", M.visible(d, 100000.0, 20000000.0).alias("visible"))
 
 
+@query(f"""SELECT n_nationkey, round(greatest(a, -30), 6) AS minx, round(least(c, 40), 6) AS maxx, round(greatest(b, -10), 6) AS miny, round(least(d, 80), 6) AS maxy, round(4096 / (c - a), 6) AS res_x, round(4096 / (d - b), 6) AS res_y FROM (
+SELECT n_nationkey, lon AS a, lon + 180.0::DOUBLE / 16 AS c, degrees(2 * atan(exp((h - (y + 1) * s) / 6378137))) - 90 AS b, degrees(2 * atan(exp((h - y * s) / 6378137))) - 90 AS d FROM (
+SELECT n_nationkey, n_nationkey * (180.0::DOUBLE / 16) - 180 AS lon, 10 + n_regionkey AS y, 2 * {H}::DOUBLE / 32 AS s, {H}::DOUBLE AS h FROM nation)) WHERE c >= -30 AND a <= 40 AND d >= -10 AND b <= 80""")
+def layer_query_extent(spark, sf):
+    """What tiles ask of a layer in degrees, and at which resolution."""
+    n = read(spark, sf, "nation").withColumn("b", M.tile_bbox(5, F.col("n_nationkey"), F.lit(10) + F.col("n_regionkey")))
+    layer = F.struct(*[F.lit(float(v)).alias(k) for k, v in (("minx", -30), ("miny", -10), ("maxx", 40), ("maxy", 80))])
+    n = n.withColumns({"q": M.query_extent(layer, F.col("b"), 4326), "r": M.query_resolution(F.col("b"), 4096, 4326)}).where("q is not null")
+    return n.select("n_nationkey", *[F.round(F.col("q")[c], 6).alias(c) for c in ("minx", "maxx", "miny", "maxy")], F.round("r.x", 6).alias("res_x"), F.round("r.y", 6).alias("res_y"))
+
+
 # -- geometry -------------------------------------------------------------------------
 
 

@@ -309,6 +309,23 @@ def test_max_extent_cuts_polygons(spark):
     assert {k: (min(v), max(v)) for k, v in found.items() if k in ((0, 0), (1, 0))} == {(0, 0): ((2048, 2048), (4160, 4096)), (1, 0): ((-64, 2048), (1024, 4096))}
 
 
+def test_bounds_of_features_reach_the_scan(spark, tmp_path):
+    path = str(tmp_path / "places")
+    spark.range(-170, 171, 10).select("id", F.col("id").cast("double").alias("lon"), (F.col("id") / 2.0).alias("lat")).write.parquet(path)
+    places = spark.read.parquet(path)
+    source = places.select(point(F.col("lon"), F.col("lat")).alias("geom"), F.col("id").alias("fid"), "lon", "lat")
+    box = (-M.HALF / 4, -M.HALF / 4, M.HALF / 4, M.HALF / 2)  # 45 degrees each way, 66.5 to the north
+    options = EncodeOptions(max_extent=box)
+    bounded = TileEncoder([LayerSpec("p", source, srs=4326, bounds=("lon", "lat", "lon", "lat"))], options).encode(2)
+    plain = TileEncoder([LayerSpec("p", source, srs=4326)], options).encode(2)
+    assert sorted(map(tuple, bounded.collect())) == sorted(map(tuple, plain.collect()))
+    assert {r.fid for r in decode.features(bounded).collect()} == set(range(-40, 41, 10))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")  # the plan's text is cut short
+    plan = bounded._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert all(f"{t}({c}," in plan for t in ("LessThanOrEqual", "GreaterThanOrEqual") for c in ("lon", "lat"))
+
+
 def test_update_of_tiles_without_data(spark):
     src = spark.range(1).select(point(F.lit(5.0), F.lit(5.0)).alias("geom"), F.lit(1).alias("fid"))
     tiles = spark.createDataFrame([(1, 1, 0, None), (1, 0, 1, None), (2, 0, 0, None)], "z int, x long, y long, data binary")
