@@ -461,7 +461,7 @@ def encode_max_extent(spark, sf):
     return TileEncoder([LayerSpec("customers", rows)], EncodeOptions(max_extent=box)).encode(3).select("x", "y", "n_features")
 
 
-@query("SELECT n_nationkey % 8 AS x, n_nationkey // 8 AS y, CAST(n_nationkey AS BIGINT) AS fid, CAST(64 AS BIGINT) AS n_pixels, CAST(4 * (16 * (7 * n_nationkey + 1) + 120) AS BIGINT) AS total, CAST(n_nationkey AS BIGINT) AS first_x, CAST(2 * n_nationkey AS BIGINT) AS first_y FROM nation")
+@query("SELECT CAST(n_nationkey % 8 AS BIGINT) AS x, CAST(n_nationkey // 8 AS BIGINT) AS y, CAST(n_nationkey AS BIGINT) AS fid, CAST(64 AS BIGINT) AS n_pixels, CAST(4 * (16 * (7 * n_nationkey + 1) + 120) AS BIGINT) AS total, CAST(n_nationkey AS BIGINT) AS first_x, CAST(2 * n_nationkey AS BIGINT) AS first_y FROM nation")
 def raster_tiles(spark, sf):
     """A raster of 4 x 4 pixels for each nation, shown at twice its size in a tile of its
     own: its pixels, their sum and the place of the first one."""

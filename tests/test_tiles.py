@@ -318,10 +318,10 @@ def test_bounds_of_features_reach_the_scan(spark, tmp_path):
     options = EncodeOptions(max_extent=box)
     bounded = TileEncoder([LayerSpec("p", source, srs=4326, bounds=("lon", "lat", "lon", "lat"))], options).encode(2)
     plain = TileEncoder([LayerSpec("p", source, srs=4326)], options).encode(2)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")  # a scan's text is cut short, once
+    plan = bounded._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, bounded.collect())) == sorted(map(tuple, plain.collect()))
     assert {r.fid for r in decode.features(bounded).collect()} == set(range(-40, 41, 10))
-    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")  # the plan's text is cut short
-    plan = bounded._jdf.queryExecution().executedPlan().toString()
     spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert all(f"{t}({c}," in plan for t in ("LessThanOrEqual", "GreaterThanOrEqual") for c in ("lon", "lat"))
 
