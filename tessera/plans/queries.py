@@ -280,6 +280,7 @@ def clip_polygon_general(spark, sf):
         return pd.DataFrame(out, columns=["joined2", "odd2", "apart2", "n_arms", "arms2"], dtype="int64")
 
     b = boxes(spark, sf).where("box.maxx > box.minx and box.maxy > box.miny")
+    b = b.repartition(spark.sparkContext.defaultParallelism)  # short rows, a millisecond each: dealt by number, which stays as it is
     x, y, w, h = F.col("box.minx"), F.col("box.miny"), F.col("box.maxx") - F.col("box.minx"), F.col("box.maxy") - F.col("box.miny")
     return b.select("p_partkey", areas(x, y, w, h).alias("a")).select("p_partkey", "a.*")
 
