@@ -31,6 +31,11 @@ ENCODINGS = [
 BINS = 200
 BLOCK = 128
 
+#: What a stratum is taken to hold before its tokens are seen: PRIOR random tokens, their p
+#: spread evenly, and as many others, with p just below a level that falls with length.
+PRIOR = 30
+LEVELS = {20: 0.25, 24: 0.1, 32: 0.05, 48: 0.02, 96: 0.01}
+
 _span = "array<struct<start:int,end:int,kind:string,text:string>>"
 
 
@@ -154,7 +159,10 @@ def battery(token: Column) -> Column:
 def stratum(encoding: Column, length: Column) -> Column:
     """Encoding and length class: tests of short tokens say less, so error rates are
     held within classes of length."""
-    size = F.when(length < 24, "20").when(length < 32, "24").when(length < 48, "32").when(length < 96, "48").otherwise("96")
+    classes = sorted(LEVELS)
+    size = F.lit(str(classes[-1]))
+    for own, above in reversed(list(zip(classes, classes[1:], strict=False))):
+        size = F.when(length < above, str(own)).otherwise(size)
     return F.concat_ws(":", encoding, size)
 
 
@@ -180,24 +188,21 @@ def candidates(docs: DataFrame, column: str = "text") -> DataFrame:
 def thresholds(tested: DataFrame, rate: float = 0.1) -> dict[str, float]:
     """For each stratum, the least p from which tokens count as random, such that at
     most ``rate`` of those are expected not to be. Random tokens have p spread evenly, so
-    those above one half, doubled, estimate their number. The histogram has BINS
+    those above one half, doubled, estimate their number. Tokens of one text are one test,
+    however often it occurs. Each stratum starts with the tokens of PRIOR, so one of few
+    tokens has about its length's level, and one of many its own. The histogram has BINS
     rows a stratum, over all documents, and so may be gathered."""
     low = F.least(F.floor(F.col("t.p") * BINS), F.lit(BINS - 1)).cast("int")
-    counts = tested.select(F.explode("_scan.tested").alias("t")).groupBy(F.col("t.stratum").alias("stratum"), low.alias("bin")).count().collect()
-    bins: dict[str, list[int]] = {}
-    for r in counts:
-        bins.setdefault(r.stratum, [0] * BINS)[r.bin] = r["count"]
+    once = tested.select(F.explode("_scan.tested").alias("t")).select(F.col("t.stratum").alias("stratum"), low.alias("bin"), F.xxhash64("t.text").alias("text")).distinct()
+    bins: dict[str, list[float]] = {}
+    for r in once.groupBy("stratum", "bin").count().collect():
+        bins.setdefault(r.stratum, [PRIOR / BINS] * BINS)[r.bin] += r["count"]
     out = {}
     for name, c in bins.items():
+        c[round(LEVELS[int(name.split(":")[1])] * BINS) - 1] += PRIOR
         random = 2.0 * sum(c[BINS // 2 :])
-        best = None
-        for i in range(BINS):
-            flagged = sum(c[i:])
-            if flagged and 1 - random * (1 - i / BINS) / flagged <= rate:
-                best = i / BINS
-                break
-        if best is not None and random > 0:
-            out[name] = best
+        flagged = [sum(c[i:]) for i in range(BINS)]
+        out[name] = next((i / BINS for i in range(BINS) if 1 - random * (1 - i / BINS) / flagged[i] <= rate), 1.0)
     return out
 
 
@@ -207,7 +212,7 @@ def scan(docs: DataFrame, column: str = "text", rate: float = 0.1) -> DataFrame:
     The base patterns give assign, access and hex; other tokens of 20 characters or more
     are tested for randomness in the narrowest encoding that has all their characters, and
     those that pass at their stratum's threshold are of kind random. Two narrow passes
-    and one small aggregate; no text is shuffled.
+    and one small aggregate of distinct tokens' hashes; no text is shuffled.
 
     A null text is an empty one and has no spans; tokens of one character repeated
     fail every test; repeated rows give a row each; an empty table gives none. A

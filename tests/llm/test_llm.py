@@ -208,6 +208,36 @@ def test_random_tokens_are_told_from_words(spark):
     assert len(found & set(range(200))) > 170 and not found & set(range(200, 400))
 
 
+def test_lone_keys_are_found(spark):
+    """A key that is the only token of its encoding and length passes at its length's level,
+    among words or not; words beside it do not pass."""
+    rng = np.random.default_rng(5)
+    words = ["internationalization", "counterrevolutionaries", "uncharacteristically", "ThisIsACamelCaseIdentifier", "my_very_long_identifier_name"]
+    keys = {f"{n}{size}": "".join(rng.choice(list(a), size)) for n, a in secrets.ENCODINGS if n not in ("hex", "base36") for size in (25, 40, 64, 100)}
+    df = spark.createDataFrame([(k, f"x {t} y {t} z") for k, t in keys.items()] + [(w, w) for w in words], "doc_id string, text string")
+    tested = secrets.candidates(df)
+    p = {r.doc_id: (r.t.stratum, r.t.p) for r in tested.select("doc_id", F.explode("_scan.tested").alias("t")).collect()}
+    passed = {k for k in keys if p[k][1] >= secrets.LEVELS[int(p[k][0].split(":")[1])]}
+    assert {r.doc_id for r in secrets.scan(df).where("size(spans) > 0").collect()} == passed and len(passed) >= 0.8 * len(keys)
+
+
+def test_thresholds_by_brute_force(spark):
+    rng = np.random.default_rng(6)
+    letters = list(secrets.UP + secrets.LOW + secrets.DIGITS + "+/")
+    tokens = ["".join(rng.choice(letters, 40)) for _ in range(60)] + ["".join(rng.choice(["Ing+", "tI/on", "the", "aNd", "ment", "er9"], 11)) for _ in range(300)]
+    df = spark.createDataFrame([(i, " ".join([t] * (1 + i % 3))) for i, t in enumerate(tokens)], "doc_id long, text string")
+    tested = secrets.candidates(df)
+    strata = {}
+    for r in tested.select(F.explode("_scan.tested").alias("t")).distinct().collect():
+        strata.setdefault(r.t.stratum, {})[r.t.text] = r.t.p
+    want = {}
+    for name, own in strata.items():
+        level = secrets.LEVELS[int(name.split(":")[1])]
+        of = lambda t, own=own, level=level: sum(p >= t for p in own.values()) + secrets.PRIOR * (1 - t) + secrets.PRIOR * (t < level - 1e-9)
+        want[name] = min(t for t in np.arange(secrets.BINS) / secrets.BINS if 1 - 2 * of(0.5) * (1 - t) / of(t) <= 0.1)
+    assert secrets.thresholds(tested) == pytest.approx(want) and len(want) > 1
+
+
 def test_language_forward_sums_all_segmentations():
     pieces = ["▁", "▁a", "a", "b", "ab", "▁ab"]
     p = np.array([[0.1], [0.2], [0.3], [0.05], [0.15], [0.2], [language_id.UNKNOWN]])
