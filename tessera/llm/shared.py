@@ -6,6 +6,8 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -41,10 +43,40 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(partition_by)
+    written(path)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+def written(path: str) -> None:
+    """Note a table for the scratch() block around, if there is one."""
+    if (tables := _scratch.get()) is not None:
+        tables.append(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables that materialize() writes in this block are deleted at its end, whole or failed, but
+    for those taken out of the list it gives. What is made of them must be written by then."""
+    token = _scratch.set([])
+    tables = _scratch.get()
+    try:
+        yield tables
+    finally:
+        _scratch.reset(token)
+        for path in tables:
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def from_files(df: DataFrame) -> bool:
     """Whether rows have a place in files that are there to be read again."""
     try:

@@ -1,6 +1,7 @@
 import hashlib
 import re
 import struct
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import components, decontaminate, jaccard_join, language_id, licenses, quality, secrets, sentencepiece_codec, token_rollup, topk, url_rules
 from tessera.llm.queries import QUERIES, SQL
+from tessera.llm.shared import shared_dir
 
 SF = "/root/testdata/sf0.001"
 LONG = "lorem ipsum dolor sit amet " * 20_000
@@ -605,7 +607,10 @@ def test_pipeline_by_brute_force_with_odd_rows(spark, tmp_path):
     docs = spark.createDataFrame([(i, t, lang, "s", len(t or ""), "mine", 0.5, 1) for i, t, lang in rows], names)
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, "One two, three four five"), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    folder = Path(shared_dir(spark))
+    there = set(folder.iterdir())
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert [p.name.split("-")[1] for p in set(folder.iterdir()) - there] == ["sentencepiece_encoding"]
     # rows left: one of each group of like texts, the least id first; no benchmark item; no text without letters
     clean = [(1, a), (3, b), (3, c), (None, d), (8, f"{real[some[4]].text} [secret]")]
     sp = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
