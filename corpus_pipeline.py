@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, jaccard_join, language_id, secrets, sentencepiece_codec
-from tessera.llm.shared import beside, from_files, materialize, read
+from tessera.llm.shared import beside, from_files, materialize, read, remove, scratch
 
 #: Fixed value: mean log-likelihood a letter. The first 400 words of each document of sf0.01
 #: have -2.4 at least, five tried strings (random letters, base64, scripts not learned)
@@ -69,7 +69,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """The last stage's table. What a stage wrote on its way goes when the stage is written, and a
+    stage's table when the next one is."""
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch(spark) as tables:
+            docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+            own = tables.pop()
+        if before:
+            remove(spark, before)
+        before = own
     return docs
