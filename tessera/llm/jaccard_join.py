@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ PAIRS = 1 << 20
 TWICE = U((1 << 64) - 1)
 FAN = 32
 FULL = 32  # runs up to so many groups are counted pair by pair
+OFTEN = 8  # shingles of so many prefixes go behind others of their level
+SENT = 256 << 20  # bytes of sets that may be sent to be compared at once, if not twice those held
 DONE = U((1 << SIZE_BITS) - 1)
 
 
@@ -85,7 +88,7 @@ def _levels(sketch: DataFrame) -> np.ndarray:
     The table has 2 * WIDTH bytes whatever the input, so it may be broadcast."""
     salted = sketch.select("piece", "blob", F.pmod(F.xxhash64("blob"), F.lit(16)).alias("salt"))
     some = salted.groupBy("piece", "salt").applyInArrow(_add_pieces, "piece int, blob binary")
-    rows = some.groupBy("piece").applyInArrow(_add_pieces, "piece int, blob binary").collect()
+    rows = materialize(some.groupBy("piece").applyInArrow(_add_pieces, "piece int, blob binary"), "sketch").collect()
     total = np.zeros(2 * WIDTH, np.int64)
     for r in rows:
         total[r.piece * PIECE : (r.piece + 1) * PIECE] = np.frombuffer(zlib.decompress(bytes(r.blob)), np.int64)
@@ -93,10 +96,15 @@ def _levels(sketch: DataFrame) -> np.ndarray:
     return np.floor(np.log2(1 + np.maximum(total - mean, 0) / (2 * np.sqrt(mean)))).astype(np.uint8)
 
 
-def _ordered_prefix(s: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
-    """First shingles of a sorted set in the common order: rarer levels first, then
-    by hash. Any order is right; this one keeps common shingles out of prefixes."""
-    level = np.minimum(levels[(s & U(WIDTH - 1)).astype(np.int64)], levels[WIDTH + ((s >> U(32)) & U(WIDTH - 1)).astype(np.int64)])
+def _ordered_prefix(s: np.ndarray, order: tuple[np.ndarray, np.ndarray | None], percent: int) -> np.ndarray:
+    """First shingles of a sorted set in the common order: rarer levels first, of a level
+    those not found often, then by hash. Any order is right; this one keeps common shingles
+    out of prefixes."""
+    levels, often = order
+    level = 2 * np.minimum(levels[(s & U(WIDTH - 1)).astype(np.int64)], levels[WIDTH + ((s >> U(32)) & U(WIDTH - 1)).astype(np.int64)])
+    if often is not None:
+        at = (s & U(BITMAP - 1)).astype(np.int64)
+        level += often[at >> 3] >> (at & 7).astype(np.uint8) & 1
     return s[np.argsort(level, kind="stable")[: prefix_len(len(s), percent)]]
 
 
@@ -112,14 +120,66 @@ def _group_id(prefix: np.ndarray, n: int) -> int:
     return (_group_key(prefix, n) >> SIZE_BITS << SIZE_BITS) | min(n, int(DONE))
 
 
-# -- pass 2: shingle -> groups, runs and first candidates ------------------------
+# -- pass 2: shingles of many prefixes --------------------------------------------
+
+def _prefix_tokens(order, buckets: int, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, seen, tokens, size = order.value, set(), [], 0
+
+        def flush() -> pa.RecordBatch:
+            t = np.concatenate(tokens or [np.empty(0, U)])
+            b = ((t >> U(32)) % U(buckets)).astype(np.int64)
+            by = np.argsort(b, kind="stable")
+            t, at = (t[by] & U(0xFFFFFFFF)).astype(np.uint32), np.searchsorted(b[by], np.arange(buckets + 1))
+            some = np.flatnonzero(np.diff(at)).tolist()
+            tokens.clear()
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([t[at[i] : at[i + 1]].tobytes() for i in some], pa.binary())], names=["bucket", "tokens"])
+
+        for batch in batches:
+            for _, s in shingle_sets(batch.column("text")):
+                if not len(s) or (key := set_key(s)) in seen:
+                    continue
+                if len(seen) < 1 << 17:
+                    seen.add(key)
+                tokens.append(_ordered_prefix(s, held, percent))
+                size += len(tokens[-1])
+                if size >= FLUSH:
+                    yield flush()
+                    size = 0
+        yield flush()
+
+    return run
+
+
+def _often(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    t, times = np.unique(np.frombuffer(b"".join(x.as_py() for x in table.column("tokens")), np.uint32), return_counts=True)
+    at = np.unique(t[times >= OFTEN] & np.uint32(BITMAP - 1))
+    parts = [at[i : i + FLUSH].tobytes() for i in range(0, len(at), FLUSH)]
+    return pa.table({"bits": pa.array(parts, pa.binary())})
+
+
+def _found_often(docs: DataFrame, order, buckets: int, percent: int) -> np.ndarray:
+    """A filter of BITMAP bits over the shingles that stand in OFTEN prefixes or more.
+    Counters of the sketch are shared by ever more shingles as the input grows, and those of
+    some dozen texts no longer stand out; in prefixes they would make long runs of texts that
+    have nothing else in common. 16 MB at any input; a bit set by chance changes the order only."""
+    tokens = docs.select("text").mapInArrow(lean(_prefix_tokens(order, buckets, percent)), "bucket int, tokens binary")
+    found = materialize(tokens.groupBy("bucket").applyInArrow(_often, "bits binary"), "often")
+    bits = np.zeros(BITMAP // 8, np.uint8)
+    for r in found.toLocalIterator():
+        at = np.frombuffer(bytes(r.bits), np.uint32)
+        np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    return bits
+
+
+# -- pass 3: shingle -> groups, runs and first candidates ------------------------
 
 _packed = pa.schema([("bucket", pa.int32()), ("tokens", pa.binary()), ("groups", pa.binary())])
 
 
-def _postings(levels, buckets: int, percent: int):
+def _postings(order, buckets: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = levels.value
+        held_order = order.value
         seen: set[bytes] = set()
         done: set[int] = set()
         tokens: list[np.ndarray] = []
@@ -130,8 +190,8 @@ def _postings(levels, buckets: int, percent: int):
         def flush() -> pa.RecordBatch:
             t, g = np.concatenate(tokens or [np.empty(0, U)]), np.concatenate(groups or [np.empty(0, U)])
             b = ((t >> U(32)) % U(buckets)).astype(np.int64)
-            order = np.argsort(b, kind="stable")
-            t, g, b = (t[order] & U(0xFFFFFFFF)).astype(np.uint32), g[order], b[order]
+            by = np.argsort(b, kind="stable")
+            t, g, b = (t[by] & U(0xFFFFFFFF)).astype(np.uint32), g[by], b[by]
             at = np.searchsorted(b, np.arange(buckets + 1))
             m = np.array(members, U).reshape(-1, 2)
             mb = (mix(m[:, 0]) % U(buckets)).astype(np.int64)
@@ -146,7 +206,7 @@ def _postings(levels, buckets: int, percent: int):
                     continue
                 if len(seen) < 1 << 17:
                     seen.add(key)
-                prefix = _ordered_prefix(s, table, percent)
+                prefix = _ordered_prefix(s, held_order, percent)
                 gid = _group_id(prefix, len(s))
                 members.append((gid, int(np.frombuffer(key, U)[0])))
                 held += 16
@@ -312,21 +372,21 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), run.as_py(), np.int64)), pa.array(np.full(len(g), lengthy.as_py() == 1)), pa.array(g)], names=["run", "lengthy", "gid"])
 
 
-# -- pass 3: the sets of candidate groups, verification --------------------------
+# -- pass 4: the sets of candidate groups, verification --------------------------
 
 _sets = pa.schema([("gid", pa.int64()), ("cls", pa.binary()), ("n", pa.int64()), ("shingles", pa.binary())])
 
 
-def _candidate_sets(levels, bitmap, percent: int):
+def _candidate_sets(order, bitmap, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, bits = levels.value, bitmap.value
+        held_order, bits = order.value, bitmap.value
         seen: set[bytes] = set()
         for batch in batches:
             rows, held = [], 0
             for _, s in shingle_sets(batch.column("text")):
                 if not len(s) or (key := set_key(s)) in seen:
                     continue
-                gid = _group_id(_ordered_prefix(s, table, percent), len(s))
+                gid = _group_id(_ordered_prefix(s, held_order, percent), len(s))
                 at = _bit(np.array([gid], U))[0]
                 if bits[at >> 3] >> (at & 7) & 1:
                     if len(seen) < 1 << 17:
@@ -389,6 +449,17 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "xs", "ys").mapInArrow(lean(_verify(percent)), "a binary, b binary")
 
 
+def _in_rounds(pairs: DataFrame, sent: DataFrame, sets: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``links`` of ``pairs``, written a part of the pairs at a time: ``sent`` has the sizes n
+    of the sets that the pairs send, and no part sends more than SENT bytes or twice the sets
+    held, so that disk grows with the sets and not with the pairs."""
+    total = lambda d: 8 * (d.agg(F.sum("n")).first()[0] or 0)
+    rounds = -(-total(sent) // max(SENT, 2 * total(sets))) or 1
+    part = F.pmod(F.xxhash64(*pairs.columns), F.lit(rounds))
+    out = [materialize(links(pairs.where(part == i)), "linked") for i in range(rounds)]
+    return reduce(DataFrame.union, out)
+
+
 def _compare(percent: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         """Links that join two roots, for all pairs across the key's two blocks: shared
@@ -469,9 +540,13 @@ def _block_links(members: DataFrame, sets: DataFrame, percent: int, block: int =
     """Links (a, b) enough to join all roots that any link joins, among the members of
     runs: the pairs of _block_pairs() are compared whole."""
     homes, pairs = _block_pairs(members, percent, block)
-    sent = pairs.withColumn("block", F.col("i")).union(pairs.where("i <> j").withColumn("block", F.col("j")))
-    sent = sent.join(homes.select("cls", "root", "block"), "block").join(sets.select("cls", "shingles"), "cls")
-    return sent.select("i", "j", "block", "cls", "root", "shingles").groupBy("i", "j").applyInArrow(_compare(percent), "a binary, b binary")
+    ends = lambda d: d.withColumn("block", F.col("i")).union(d.where("i <> j").withColumn("block", F.col("j")))
+
+    def links(part: DataFrame) -> DataFrame:
+        sent = ends(part).join(homes.select("cls", "root", "block"), "block").join(sets.select("cls", "shingles"), "cls")
+        return sent.select("i", "j", "block", "cls", "root", "shingles").groupBy("i", "j").applyInArrow(_compare(percent), "a binary, b binary")
+
+    return _in_rounds(pairs, ends(pairs).join(homes.groupBy("block").agg(F.sum("n").alias("n")), "block"), sets, links)
 
 
 def jaccard_components(docs: DataFrame, percent: int = 75, salts: int = 32) -> DataFrame:
@@ -483,17 +558,20 @@ def jaccard_components(docs: DataFrame, percent: int = 75, salts: int = 32) -> D
 
     1. One pass finds each document's set size and key, and a count sketch of fixed
        size. Documents with one set are one member from here on.
-    2. The sketch gives the common order of shingles. Each distinct set sends the
+    2. The sketch gives the common order of shingles. A pass counts those of all prefixes;
+       the ones found often go behind others of their level.
+    3. Each distinct set sends the
        shingles of its prefix, packed, to the bucket of each; documents of one task
        with one prefix and size go as one group. A bucket lists the groups of each
        shingle: it counts the shared ones of every two groups in short runs, and takes
        a tree of pairs from long ones. Pairs that share too little for their sizes go.
-    3. Groups in any pair or run are expanded to their members, whose sets are
+    4. Groups in any pair or run are expanded to their members, whose sets are
        fetched in one more pass; pairs of members are verified on whole sets.
        Runs whose members are then still in several components are compared in
        full, block against block, so no two components that a link joins stay apart.
+       Both go in rounds, each of which sends a bounded multiple of the sets held.
     Nothing gathered on the driver grows with the input: the sketch has 8 MB and the
-    filter of candidate groups 16 MB at any size.
+    filters of common shingles and candidate groups 16 MB each at any size.
 
     A null or empty text has no shingles, links with nothing and is its own component;
     a text of one to four words has one shingle. Repeated rows give a row each, with
@@ -519,19 +597,23 @@ def _components(docs: DataFrame, percent: int, salts: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     first = materialize(docs.mapInArrow(lean(_describe), f"kind int, doc_id {kind}, n long, cls binary, piece int, blob binary"), "sets", "kind")
     own = first.where("kind = 0").select("doc_id", "n", "cls")
-    levels = spark.sparkContext.broadcast(_levels(first.where("kind = 1")))
+    levels = _levels(first.where("kind = 1"))
     total = own.agg(F.sum("n")).first()[0] or 0
     tokens = total * (100 - percent) // 100
     buckets = int(max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), tokens // (1 << 20), 64))
-    packed = docs.select("text").mapInArrow(lean(_postings(levels, buckets, percent)), "bucket int, tokens binary, groups binary")
+    order = spark.sparkContext.broadcast((levels, None))
+    often = _found_often(docs, order, buckets, percent)
+    order.unpersist()
+    order = spark.sparkContext.broadcast((levels, often))
+    packed = docs.select("text").mapInArrow(lean(_postings(order, buckets, percent)), "bucket int, tokens binary, groups binary")
     found = materialize(packed.groupBy("bucket").applyInArrow(_runs(percent), "kind int, a long, b long, shared long, ids binary"), "runs", "kind")
     runs = materialize(found.where("kind = 1").groupBy("a", "ids").agg(F.min("b").alias("b")).mapInArrow(_unpack, "run long, lengthy boolean, gid long"), "members")
     near = materialize(_enough_shared(found, percent), "near")
     gids = near.select(F.explode(F.array("a", "b")).alias("gid")).union(runs.select("gid")).distinct()
     bitmap = spark.sparkContext.broadcast(_bitmap(gids))
-    sets = docs.select("text").mapInArrow(lean(_candidate_sets(levels, bitmap, percent)), "gid long, cls binary, n long, shingles binary")
+    sets = docs.select("text").mapInArrow(lean(_candidate_sets(order, bitmap, percent)), "gid long, cls binary, n long, shingles binary")
     sets = materialize(sets.dropDuplicates(["cls"]).join(gids, "gid", "left_semi"), "shingles")
-    levels.unpersist()
+    order.unpersist()
     bitmap.unpersist()
     members = sets.select("gid", "cls", "n")
 
@@ -539,7 +621,7 @@ def _components(docs: DataFrame, percent: int, salts: int) -> DataFrame:
     across = near.join(rep.select(F.col("gid").alias("a"), F.col("rep").alias("ra")), "a").join(rep.select(F.col("gid").alias("b"), F.col("rep").alias("rb")), "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
     within = members.join(rep.where("k > 1").select("gid", "rep"), "gid").where("cls <> rep").select(F.col("rep").alias("a"), F.col("cls").alias("b"))
     tried = materialize(across.union(within).distinct(), "tried")
-    links = materialize(verified(tried, sets, percent), "linked")
+    links = _in_rounds(tried, tried.join(members.select(F.col("cls").alias("b"), "n"), "b"), sets, lambda part: verified(part, sets, percent))
 
     # what the trees left open: every pair across components, in pairs and runs of groups
     roots = components(links, salts)
@@ -551,7 +633,7 @@ def _components(docs: DataFrame, percent: int, salts: int) -> DataFrame:
     placed = materialize(runs.union(as_runs).join(at, "gid"), "placed")
     several = placed.groupBy("run", "root").agg(F.lit(1).alias("one")).groupBy("run").agg(F.count("*").alias("k")).where("k > 1").select("run")
     left = materialize(placed.join(several, "run", "left_semi"), "open")
-    links = materialize(links.union(_block_links(left, sets, percent)), "linked")
+    links = links.union(_block_links(left, sets, percent))
     roots = components(links, salts)
 
     # documents of one set may be a third of all rows: minima by (set, salt) first

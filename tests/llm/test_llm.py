@@ -1,6 +1,7 @@
 import hashlib
 import re
 import struct
+import time
 from pathlib import Path
 
 import numpy as np
@@ -594,6 +595,69 @@ def test_pages_with_one_boilerplate(spark):
     assert {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(df).collect()} == dict(enumerate(root))
 
 
+def linked_roots(sets):
+    root = list(range(len(sets)))
+    for _ in range(2):
+        for a, x in enumerate(sets):
+            for b, y in enumerate(sets[:a]):
+                if 100 * len(x & y) >= 75 * len(x | y):
+                    root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
+def test_common_shingles_that_the_sketch_misses(spark, monkeypatch):
+    """Of large inputs the sketch doesn't tell apart shingles of some dozen texts; unlike texts that
+    share one aren't compared for it."""
+    texts = []
+    for i in range(150):
+        own = [f"w{i}x{j}" for j in range(20)]
+        own[10:10] = [f"c{i % 2}x{j}" for j in range(10)]
+        texts.append(" ".join(own))
+        if i % 10 == 0:
+            texts.append(" ".join([*own, f"z{i}"]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    compared, own_pairs = [], jaccard_join._block_pairs
+
+    def block_pairs(*args):
+        out = own_pairs(*args)
+        compared.append(out[1].count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "_levels", lambda sketch: np.zeros(2 * jaccard_join.WIDTH, np.uint8))
+    monkeypatch.setattr(jaccard_join, "_block_pairs", block_pairs)
+    found = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(df).collect()}
+    assert found == dict(enumerate(linked_roots([shingles(t) for t in texts])))
+    assert compared == [0]
+
+
+def test_sets_are_sent_in_rounds(spark, monkeypatch):
+    """However many pairs there are, what is sent to be compared at once is bounded by the sets held."""
+    ids = spark.range(40)
+    pairs = ids.select(F.col("id").alias("a")).crossJoin(ids.select(F.col("id").alias("b"))).where("a < b")
+    sets = ids.select("id", F.lit(50).cast("long").alias("n"))
+    parts = []
+    rounds = lambda: jaccard_join._in_rounds(pairs, pairs.select(F.lit(50).alias("n")), sets, lambda p: parts.append(p.count()) or p)
+    want = sorted(map(tuple, pairs.collect()))
+    assert sorted(map(tuple, rounds().collect())) == want and parts == [780]
+    monkeypatch.setattr(jaccard_join, "SENT", 1)
+    parts.clear()
+    assert sorted(map(tuple, rounds().collect())) == want
+    assert len(parts) == 10 and max(parts) < 2 * 80
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    from tessera.llm.shared import materialize
+
+    files = lambda: {str(f) for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if "shuffle_" in str(f)}
+    before = files()
+    table = materialize(spark.range(20_000).repartition(7, "id").groupBy(F.col("id") % 900).count(), "x")
+    for _ in range(4):  # they go in the background, and long before garbage is collected
+        if files() - before:
+            time.sleep(0.5)
+    assert not files() - before and table.count() == 900
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
 def test_pipeline_by_brute_force_with_odd_rows(spark, tmp_path):
     """Nulls, empty texts, repeated and missing ids, repeated rows and clashing names."""
     import corpus_pipeline
