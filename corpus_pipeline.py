@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, jaccard_join, language_id, secrets, sentencepiece_codec
-from tessera.llm.shared import beside, from_files, materialize, read, remove, scratch
+from tessera.llm.shared import beside, from_files, materialize, read, remove, scratch, written
 
 #: Fixed value: mean log-likelihood a letter. The first 400 words of each document of sf0.01
 #: have -2.4 at least, five tried strings (random letters, base64, scripts not learned)
@@ -34,8 +34,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     group and stay."""
     if not from_files(docs):
         docs = materialize(docs, "documents")
-    found = jaccard_join.row_components(docs.select("doc_id", "text"))
-    gone = materialize(found.where("row <> component").select(F.col("row.file").alias("_file"), F.col("row.place").alias("_place")), "copies")
+    with scratch(spark) as tables:  # what the join wrote goes before the documents are written
+        found = jaccard_join.row_components(docs.select("doc_id", "text"))
+        gone = materialize(found.where("row <> component").select(F.col("row.file").alias("_file"), F.col("row.place").alias("_place")), "copies")
+        own = tables.pop()
+    written(own)
     placed = docs.withColumns({"_file": F.xxhash64("_metadata.file_path"), "_place": F.col("_metadata.row_index")})
     return placed.join(gone, ["_file", "_place"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 

@@ -658,6 +658,18 @@ def test_written_tables_leave_no_shuffle_files(spark):
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
 
 
+def test_near_copies_leave_one_table(spark, tmp_path):
+    """What the join wrote goes before the next table is written, whoever calls the stage."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    there = set(folder.iterdir())
+    kept = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    assert [p.name.split("-")[0] for p in set(folder.iterdir()) - there] == ["copies"]
+    assert 0 < kept.count() < docs.count()
+
+
 def test_pipeline_by_brute_force_with_odd_rows(spark, tmp_path):
     """Nulls, empty texts, repeated and missing ids, repeated rows and clashing names."""
     import corpus_pipeline
