@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import struct
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -82,7 +83,7 @@ class Codec:
     No piece holds the blank's mark behind another character, so a text's ids are those
     of its chunks, each some marks and what follows up to the next mark. Distinct chunks
     are put together to strings of PART chunks, which the rebuilt tokenizer, with the mark
-    as its pre-tokenizer's cut, encodes in a batch (multithreaded) and decodes again. Whole
+    as its pre-tokenizer's cut, encodes in a batch and decodes again. Whole
     texts are encoded by the original library too; where the ids differ the original's stand.
 
     Chunks are kept for two generations of ``cache`` each, so that frequent ones stay.
@@ -200,16 +201,13 @@ class Codec:
         elif len(self.known) > self.size:
             self._next_generation()
         known, older = self.known, self.older
-        place = np.fromiter(map(known.get, flat, repeat(-1)), np.int64, len(flat))
-        missing = np.flatnonzero(place < 0)
-        flat = [flat[i] for i in missing.tolist()]
-        new = set(flat)
+        new = set(flat) - known.keys()
         met = new & older.keys()
         known.update(zip(met, map(older.__getitem__, met), strict=True))
         fresh = sorted(new - met)
         for i in range(0, len(fresh), STEP):
             self._learn(fresh[i : i + STEP])
-        place[missing] = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
+        place = np.array(list(map(known.__getitem__, flat)), np.int64)
         del flat
         originals = self.original.encode([t or "" for t in texts], num_threads=1)
         out, at = [], 0
@@ -230,6 +228,7 @@ class Codec:
 
 
 def _codec(data: bytes) -> Codec:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library's threads cost more than they save
     return kept(f"codec-{hashlib.sha256(data).hexdigest()}", lambda: Codec(data))
 
 

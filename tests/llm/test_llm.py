@@ -1,6 +1,9 @@
 import hashlib
+import os
 import re
 import struct
+import subprocess
+import sys
 import time
 from pathlib import Path
 
@@ -451,6 +454,21 @@ def test_sentencepiece_from_a_broken_backend_and_small_caches():
     assert codec.pool.tolist() == [x for t in sorted(texts[0].split(" ")) for x in sentencepiece_codec.Codec(sentencepiece_codec.load_model()).original.encode(t)]
 
 
+def test_sentencepiece_worker_has_no_threads_of_its_own():
+    """A task has one core; threads of the tokenizers library would be more than the cores there are."""
+    code = """
+import os
+from tessera.llm import sentencepiece_codec as c
+codec = c._codec(c.load_model())
+before = len(os.listdir("/proc/self/task"))
+codec.encode([" ".join(f"w{i}x{j}" for j in range(2000)) for i in range(20)])
+print(len(os.listdir("/proc/self/task")) - before)
+"""
+    env = {k: v for k, v in os.environ.items() if k not in ("TOKENIZERS_PARALLELISM", "RAYON_NUM_THREADS")}
+    root = Path(sentencepiece_codec.__file__).parents[2]
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, env=env, capture_output=True, text=True, check=True).stdout.split() == ["0"]
+
+
 def message(*fields):
     """A protobuf message of (number, value) fields: whole numbers, floats, texts, messages."""
     varint = lambda n: bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
