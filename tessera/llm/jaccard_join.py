@@ -422,7 +422,8 @@ def _bitmap(gids: DataFrame) -> np.ndarray:
     """A filter of BITMAP bits over the candidate groups: 16 MB at any input; as it
     fills, more documents pass it, and the join that follows drops those."""
     bits = np.zeros(BITMAP // 8, np.uint8)
-    for r in gids.mapInArrow(_gather_bits, "page int, bits binary").toLocalIterator():
+    found = materialize(gids.mapInArrow(_gather_bits, "page int, bits binary"), "candidates")  # else a job for each partition
+    for r in found.toLocalIterator():
         at = (r.page << 19) + np.frombuffer(bytes(r.bits), np.int32).astype(np.int64)
         np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
     return bits
