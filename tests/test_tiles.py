@@ -1,5 +1,6 @@
 import math
 import os
+import random
 
 import numpy as np
 import pytest
@@ -411,3 +412,71 @@ def test_rasters_to_tiles_and_back(spark):
         R.encode_rasters(source.withColumn("pixels", F.lit(b"x")), "r", 1).collect()
     with pytest.raises(ValueError):
         R.encode_rasters(source, "r", 1, method="cubic")
+
+
+def _random_lines(seed, n):
+    """Batches for _to_commands: lines over tiles of zoom 2, on cells, between them and far out."""
+    import pyarrow as pa
+
+    rnd, side = random.Random(seed), 2 * M.HALF / 4
+    cell = side / 4096
+
+    def line():
+        k = rnd.choice([0, 1, 2, 3, 5, 9, 40])
+        if rnd.random() < 0.5:
+            return [{"x": rnd.randrange(-9, 9) * side / 4, "y": rnd.randrange(-9, 9) * side / 4} for _ in range(k)]
+        x, y = rnd.uniform(-M.HALF, M.HALF), rnd.uniform(-M.HALF, M.HALF)
+        far = rnd.choice([1, 1, 1, 1e12])
+        return [{"x": x + rnd.randrange(-40, 40) * cell / 2 * far, "y": y + rnd.randrange(-40, 40) * cell / 2} for _ in range(k)]
+
+    rows = [{"kind": rnd.choice(["linestring", "multilinestring"]), "parts": [[line() for _ in range(rnd.randrange(1, 4))]]} for _ in range(n)]
+    geom = pa.struct([("kind", pa.string()), ("parts", pa.list_(pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))))])
+    longs = lambda v: pa.array(v, pa.int64())
+    return pa.RecordBatch.from_arrays([longs([rnd.randrange(4) for _ in range(n)]), longs([rnd.randrange(4) for _ in range(n)]), longs(range(n)), longs(range(n)), pa.array([[]] * n, pa.map_(pa.string(), pa.int64())), pa.array(rows, geom)], names=["x", "y", "ord", "fid", "attrs", "geom"])
+
+
+@pytest.mark.parametrize("options", [{}, {"simplify_distance": 4}, {"simplify_distance": 0.5, "offset_x": 7}, {"simplify_distance": 60, "max_extent": (-M.HALF / 3, -M.HALF / 2, M.HALF / 5, M.HALF / 7)}])
+def test_lines_as_arrays_are_lines_one_by_one(monkeypatch, options):
+    from tessera.operators import encode as E
+    from tessera.operators import lines as L
+
+    batch, o = _random_lines(3, 600), E.EncodeOptions(**options)
+    for cells in (0.0, 64.0):
+        found = next(E._to_commands(o, 4096, cells, 2)(iter([batch]))).to_pylist()
+        with monkeypatch.context() as m:
+            m.setattr(L, "EXACT", -1.0)  # nothing is left to arrays
+            assert next(E._to_commands(o, 4096, cells, 2)(iter([batch]))).to_pylist() == found
+        assert len(found) > 50
+
+
+def test_lines_take_no_call_for_each_feature(monkeypatch):
+    """From rows to a tile and its summary: calls grow with the blocks, not with the features."""
+    import pyarrow as pa
+
+    from tessera.operators import encode as E
+    from tessera.operators import tile as T
+    from tessera.operators import wire as W
+
+    calls = []
+    for where, name in ((G, "clip_line"), (G, "douglas_peucker"), (T.LayerWriter, "add_coded"), (W, "fields"), (W, "varint")):
+        own = getattr(where, name)
+        monkeypatch.setattr(where, name, lambda *a, own=own: calls.append(1) or own(*a))
+    rows = [{"kind": "linestring", "parts": [[[{"x": i * 2000.0, "y": 0.0}, {"x": i * 2000.0 + 9e4, "y": 5e4}, {"x": i * 2000.0, "y": 9e4}]]]} for i in range(900)]
+    batch = _random_lines(1, 900)
+    zero = pa.array([0] * 900, pa.int64())
+    batch = pa.RecordBatch.from_arrays([zero, zero, *batch.columns[2:5], pa.array(rows, batch.schema.field("geom").type)], names=batch.schema.names)
+    coded = pa.Table.from_batches(E._to_commands(E.EncodeOptions(simplify_distance=4), 4096, 0.0, 0)(iter([batch])))
+    tile = E._assemble({"a": 4096}, ["a"])((pa.scalar(0), pa.scalar(0)), coded.append_column("layer", pa.array(["a"] * len(coded)))).to_pylist()[0]
+    (layer,) = T.layers(tile["data"])
+    s = T.summary(layer)
+    assert (tile["n_features"], s["n_features"], s["n_move"], s["n_line"]) == (900, 900, 900, 1800)
+    assert len(calls) < 100
+    monkeypatch.undo()
+    w = T.LayerWriter("a")
+    for r in coded.to_pylist():
+        w.add_coded(r["code"], r["fid"], {})
+    assert tile["data"] == w.bytes()
+    found = dict.fromkeys(("n_ints", "n_cmds", "n_move", "n_line", "n_close", "n_degenerate", "n_empty"), 0)
+    for f in T.Layer(layer).features:
+        T._feature_counts(f, found)
+    assert {k: s[k] for k in found} == found
