@@ -480,3 +480,25 @@ def test_lines_take_no_call_for_each_feature(monkeypatch):
     for f in T.Layer(layer).features:
         T._feature_counts(f, found)
     assert {k: s[k] for k in found} == found
+
+
+def test_few_edges_need_no_arrays(monkeypatch):
+    """Two boxes, a notch, random rings: what arrays find is found edge by edge."""
+    rnd = random.Random(4)
+    cases = [([[(0, 0), (9, 0), (9, 9), (0, 9), (0, 0)], [(3, 4), (12, 4), (12, 13), (3, 13), (3, 4)]], f) for f in overlay.INSIDE]
+    for _ in range(60):
+        side = rnd.choice([4, 9, 4000])
+        rings = [[(rnd.randrange(side), rnd.randrange(side)) for _ in range(rnd.randrange(3, 9))] for _ in range(rnd.randrange(1, 4))]
+        cases.append(([[*r, r[0]] for r in rings], rnd.choice(list(overlay.INSIDE))))
+    with monkeypatch.context() as m:
+        m.setattr(overlay, "_noded", None)
+        m.setattr(overlay, "_sides", None)
+        found = [overlay.union(*c) for c in cases]
+    monkeypatch.setattr(overlay, "FEW", 0)
+    assert [overlay.union(*c) for c in cases] == found
+
+
+def test_rings_within_the_box_stay_and_others_are_cut():
+    ring = [(0, 0), (10, 0), (10, 10), (0, 10), (0, 0)]
+    assert G.clip_ring(ring, (0, 0, 10, 10)) == ring
+    assert G.area2(G.clip_ring(ring, (0, 0, 10, 9))[:-1]) == 180
